@@ -21,6 +21,9 @@ from weftgraph.session import scratch_path, write_counted
 # and its ancestors.  After this many levels it is replaced by a single number.
 TRAIL_LEVELS = 8
 
+# A frontier of at most this many rows is also sent to the scan as a filter.
+PUSHED_IDS = 1000
+
 
 def as_roots(spark: SparkSession, roots: str | Iterable[str] | DataFrame) -> DataFrame:
     """Root ids as one ``root`` column; a DataFrame may hold any number of them."""
@@ -40,12 +43,26 @@ def _shorten(level: DataFrame, empty: Column) -> DataFrame:
     return ranked.withColumn("rank", F.monotonically_increasing_id()).withColumn("trail", empty)
 
 
-def bfs(adjacency: DataFrame, roots: DataFrame, max_depth: int = 0, ordered: bool = True) -> DataFrame:
-    """Nodes reached from each root: (root, id, distance, via), roots at distance 0.
+def _edges_from(adjacency: DataFrame, frontier: DataFrame, size: int) -> DataFrame:
+    """Edges that leave the frontier.
+
+    The ids of a small frontier also become a filter, which a table sorted by
+    the source id answers from its row-group statistics instead of a full scan.
+    """
+    if size <= PUSHED_IDS:
+        ids = [r["id"] for r in frontier.select("id").distinct().take(PUSHED_IDS)]
+        adjacency = adjacency.filter(F.col("src").isin(ids))
+    return adjacency.join(frontier, F.col("src") == F.col("id"))
+
+
+def bfs(adjacency: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFrame:
+    """Nodes reached from each root: (root, id, distance, via, rank, trail).
 
-    ``adjacency`` is (src, dst, kind, seq).  ``max_depth`` <= 0 has no bound.
-    With ``ordered``, ``via`` is the kind of the edge a queue would have met
-    first: earliest parent in the queue, then earliest edge.
+    ``adjacency`` is (src, dst, kind, seq).  ``roots`` has a root column and may
+    have id and rank: the nodes each search starts from and their order.
+    ``max_depth`` <= 0 has no bound.  ``via`` is the kind of the edge a queue
+    would have met first: earliest parent in the queue, then earliest edge.
+    Within a distance, (rank, trail) sorts in queue order.
     """
     spark = adjacency.sparkSession
     seq_type = adjacency.schema["seq"].dataType
@@ -65,46 +82,38 @@ def bfs(adjacency: DataFrame, roots: DataFrame, max_depth: int = 0, ordered: boo
     def visited() -> DataFrame:
         return spark.read.schema(all_levels).parquet(base)
 
-    start = roots.distinct().select(
-        "root", F.col("root").alias("id"), F.lit("").alias("via"), F.lit(0).cast("long").alias("rank"), empty.alias("trail")
-    )
+    start = roots if "id" in roots.columns else roots.withColumn("id", F.col("root")).withColumn("rank", F.lit(0))
+    start = start.groupBy("root", "id").agg(F.min(F.col("rank").cast("long")).alias("rank"))
+    start = start.select("root", "id", F.lit("").alias("via"), "rank", empty.alias("trail"))
     found = write_counted(start, f"{base}/distance=0")
     depth = 0
     while found and (max_depth <= 0 or depth < max_depth):
         frontier = spark.read.schema(level_schema).parquet(f"{base}/distance={depth}")
-        reached = adjacency.join(frontier, adjacency["src"] == frontier["id"])
-        if ordered:
-            first = (
-                reached.groupBy("root", "dst")
-                .agg(F.min(F.struct("rank", "trail", "seq", "kind")).alias("f"))
-                .select(
-                    "root",
-                    F.col("dst").alias("id"),
-                    F.col("f.kind").alias("via"),
-                    F.col("f.rank").alias("rank"),
-                    F.concat(F.col("f.trail"), F.array("f.seq")).alias("trail"),
-                )
-            )
-        else:
-            first = reached.select(
+        first = (
+            _edges_from(adjacency, frontier, found)
+            .groupBy("root", "dst")
+            .agg(F.min(F.struct("rank", "trail", "seq", "kind")).alias("f"))
+            .select(
                 "root",
                 F.col("dst").alias("id"),
-                F.lit("").alias("via"),
-                F.lit(0).cast("long").alias("rank"),
-                empty.alias("trail"),
-            ).dropDuplicates(["root", "id"])
+                F.col("f.kind").alias("via"),
+                F.col("f.rank").alias("rank"),
+                F.concat(F.col("f.trail"), F.array("f.seq")).alias("trail"),
+            )
+        )
         fresh = first.join(visited().select("root", "id"), ["root", "id"], "left_anti")
         depth += 1
-        if ordered and depth % TRAIL_LEVELS == 0:
+        if depth % TRAIL_LEVELS == 0:
             fresh = _shorten(fresh, empty)
         found = write_counted(fresh.select(*level_schema.names), f"{base}/distance={depth}")
-    return visited().select("root", "id", "distance", "via")
+    return visited().select("root", "id", "distance", "via", "rank", "trail")
 
 
 def _reachable(
     nodes: DataFrame, adjacency: DataFrame, roots: str | Iterable[str] | DataFrame, max_depth: int
 ) -> DataFrame:
     hits = bfs(adjacency, as_roots(nodes.sparkSession, roots), max_depth).filter("distance > 0")
+    hits = hits.select("root", "id", "distance", "via")
     columns = [c for c in nodes.columns if c != "id"]
     return node_or_stub(hits, nodes, columns).orderBy("root", "distance", "id")
 
@@ -133,14 +142,15 @@ def reaching(
     filters the node table.
     """
     matched = matcher(nodes) if callable(matcher) and not isinstance(matcher, Column) else nodes.filter(matcher)
-    spark = nodes.sparkSession
-    # All matched nodes are one source: they share a root and start at distance 0.
-    start = matched.select(F.lit("").alias("root"), "id").distinct()
-    return _multi_source(spark, incoming(edges), start, max_depth).select("id", "distance")
+    return _distances(incoming(edges), matched.select("id"), max_depth)
+
 
+def _distances(adjacency: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
+    """(id, distance): how far every id is from the nearest start row.
 
-def _multi_source(spark: SparkSession, adjacency: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """Distance of every id from the nearest start row (no edge order needed)."""
+    Without edge order a level is a plain distinct, which needs no sort.
+    """
+    spark = adjacency.sparkSession
     base = scratch_path(spark, "reach")
     level = T.StructType([T.StructField("id", T.StringType())])
     both = T.StructType(level.fields + [T.StructField("distance", T.IntegerType())])
@@ -150,7 +160,7 @@ def _multi_source(spark: SparkSession, adjacency: DataFrame, start: DataFrame, m
         frontier = spark.read.schema(level).parquet(f"{base}/distance={depth}")
         visited = spark.read.schema(both).parquet(base).select("id")
         fresh = (
-            adjacency.join(frontier, adjacency["src"] == frontier["id"])
+            _edges_from(adjacency, frontier, found)
             .select(F.col("dst").alias("id"))
             .distinct()
             .join(visited, "id", "left_anti")
@@ -175,18 +185,32 @@ def expand_subgraph(
 
     An edge is listed once for each of its ends that was expanded, so an edge
     inside the neighbourhood appears twice and one between two outermost nodes
-    not at all.  A depth of zero gives the seed nodes and no edges.
+    not at all.  A depth of zero gives the seed nodes and no edges.  Seeds are
+    expanded in the order of a list, or of the rank column of a DataFrame, and
+    edges carry ``place``, which sorts them the way they were met.
     """
     spark = nodes.sparkSession
-    ids = as_roots(spark, seeds).select(F.col("root").alias("id"))
-    around = outgoing(edges).select("src", "dst").unionByName(incoming(edges).select("src", "dst"))
+    if isinstance(seeds, DataFrame):
+        start = seeds if "rank" in seeds.columns else seeds.withColumn("rank", F.lit(0))
+        start = start.select(F.lit("").alias("root"), F.col(seeds.columns[0]).alias("id"), "rank")
+    else:
+        start = spark.createDataFrame([("", s, i) for i, s in enumerate(seeds)], "root string, id string, rank long")
+
+    def sided(links: DataFrame, side: int) -> DataFrame:
+        return links.withColumn("seq", F.struct(F.lit(side).alias("side"), "seq"))
+
+    around = sided(outgoing(edges), 0).unionByName(sided(incoming(edges), 1))
     if depth > 0:
-        dist = _multi_source(spark, around, ids, depth)
+        dist = bfs(around, start, depth).drop("root", "via")
     else:
-        dist = ids.distinct().withColumn("distance", F.lit(0))
-    members = nodes.join(dist, "id")
-    inner = dist.filter(F.col("distance") < depth).select("id", "distance")
-    as_from = edges.join(inner, edges["from_id"] == inner["id"]).withColumn("side", F.lit(0))
-    as_to = edges.join(inner, edges["to_id"] == inner["id"]).withColumn("side", F.lit(1))
-    columns = ["from_id", "to_id", "kind", "seq", F.col("distance").alias("expanded_at"), "side"]
-    return members, as_from.select(*columns).unionByName(as_to.select(*columns))
+        dist = start.select("id").distinct().withColumn("distance", F.lit(0))
+    members = nodes.join(dist.select("id", "distance"), "id")
+    if depth <= 0:
+        return members, edges.filter(F.lit(False)).withColumn("place", F.lit(None).cast("string"))
+    inner = dist.filter(F.col("distance") < depth)
+
+    def met(end: str, side: int) -> DataFrame:
+        place = F.struct("distance", "rank", "trail", F.lit(side).alias("side"), "seq")
+        return edges.join(inner, edges[end] == inner["id"]).select("from_id", "to_id", "kind", "seq", place.alias("place"))
+
+    return members, met("from_id", 0).unionByName(met("to_id", 1))
