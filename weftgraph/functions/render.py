@@ -125,7 +125,14 @@ def mermaid_lines(steps: DataFrame) -> DataFrame:
         F.lit(1).alias("part"),
         F.concat(F.lit("    "), "prev", F.lit(" -->|"), "via", F.lit("| "), "mid").alias("line"),
     )
-    return node_rows.unionByName(edge_rows)
+    title = steps.select("root").distinct().select(
+        "root",
+        F.lit(None).cast(steps.schema["path_key"].dataType).alias("place"),
+        F.lit(-1).alias("pos"),
+        F.lit(0).alias("part"),
+        F.lit("flowchart TD").alias("line"),
+    )
+    return title.unionByName(node_rows).unionByName(edge_rows)
 
 
 def printed(lines: DataFrame, *order: str) -> Iterator[str]:

@@ -314,7 +314,8 @@ _STEPS = f"""WITH RECURSIVE {S.NODES}, {S.EDGES},
 @register(
     "mermaid_flow",
     _STEPS + """ SELECT DISTINCT '    ' || mid || '["' || label || '"]' AS line FROM m
-    UNION ALL SELECT DISTINCT '    ' || pmid || ' -->|' || via || '| ' || mid FROM m WHERE d > 0""",
+    UNION ALL SELECT DISTINCT '    ' || pmid || ' -->|' || via || '| ' || mid FROM m WHERE d > 0
+    UNION ALL SELECT 'flowchart TD'""",
 )
 def mermaid_flow(spark, sf):
     nodes, edges = _graph(spark, sf)
