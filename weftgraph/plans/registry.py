@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.extract import csharp, go, python, typescript
+from weftgraph.extract.analyze import analyze_files
 from weftgraph.functions import answers, render, text
 from weftgraph.operators import coupling, lenses, model, paths, resolve, search, traverse
-from weftgraph.plans import star
+from weftgraph.plans import code, star
 from weftgraph.plans import star_sql as S
 from weftgraph.streaming import deltas
 
@@ -628,3 +630,283 @@ def ndjson_chunks(spark, sf):
 )
 def stream_full_text(spark, sf):
     return deltas.full_text(sse_content_blocks(spark, sf))
+
+
+# --- extraction from source text ---------------------------------------------------------
+
+
+def _source(files: DataFrame) -> DataFrame:
+    return files.select("path", "content")
+
+
+def _symbols(extracted) -> DataFrame:
+    return extracted.symbols.drop("sym_ord")
+
+
+def _refs(extracted) -> DataFrame:
+    """References under the qualified name of their symbol ("" for file-level ones)."""
+    owners = extracted.symbols.select("path", "sym_ord", "qualified")
+    named = extracted.refs.join(owners, ["path", "sym_ord"], "left")
+    return named.select(
+        "path", F.coalesce("qualified", F.lit("")).alias("qualified"), "ref_kind", "name", "receiver_type", "receiver_var", "line"
+    )
+
+
+def _rows_sql(source: str, *rows: str) -> str:
+    return " UNION ALL ".join(f"SELECT {row} FROM {source}" for row in rows)
+
+
+def _symbol_sql(path: str, source: str, rows: list[tuple]) -> str:
+    return _rows_sql(
+        source,
+        *[
+            f"{path} AS path, '{kind}' AS kind, {name} AS name, {qualified} AS qualified, {first} AS start_line, {last} AS end_line, {sig} AS signature"
+            for kind, name, qualified, first, last, sig in rows
+        ],
+    )
+
+
+def _ref_sql(path: str, source: str, rows: list[tuple]) -> str:
+    return _rows_sql(
+        source,
+        *[
+            f"{path} AS path, {owner} AS qualified, '{kind}' AS ref_kind, {name} AS name, {rtype} AS receiver_type, {rvar} AS receiver_var, {line} AS line"
+            for owner, kind, name, rtype, rvar, line in rows
+        ],
+    )
+
+
+_GO_PATH = "'parts/' || p_brand || '/p' || p_partkey || '.go'"
+
+
+@register(
+    "extract_go_symbols",
+    _symbol_sql(
+        _GO_PATH,
+        "part",
+        [
+            ("type", "'Part' || p_partkey", "'Part' || p_partkey", 5, 7, "'Part' || p_partkey || ' struct'"),
+            ("method", "'Price'", "'Part' || p_partkey || '.Price'", 9, 12, "'func (p *Part' || p_partkey || ') Price() int'"),
+            ("method", "'Size'", "'Part' || p_partkey || '.Size'", 14, 14, "'func (p *Part' || p_partkey || ') Size(n int) int'"),
+        ],
+    ),
+)
+def extract_go_symbols(spark, sf):
+    return _symbols(go.extract(_source(code.go_files(spark, sf))))
+
+
+@register(
+    "extract_go_refs",
+    _ref_sql(
+        _GO_PATH,
+        "part",
+        [
+            ("''", "import", "'fmt'", "''", "''", 3),
+            ("'Part' || p_partkey || '.Price'", "call", "'Println'", "''", "''", 10),
+            ("'Part' || p_partkey || '.Price'", "call", "'Size'", "''", "''", 11),
+        ],
+    ),
+)
+def extract_go_refs(spark, sf):
+    return _refs(go.extract(_source(code.go_files(spark, sf))))
+
+
+_TS_PATH = "'web/c' || c_custkey || '.ts'"
+_CUSTOMER = "'Customer' || c_custkey"
+_POST = "'POST /customers/' || c_custkey"
+
+
+@register(
+    "extract_ts_symbols",
+    _symbol_sql(
+        _TS_PATH,
+        "customer",
+        [
+            ("class", _CUSTOMER, _CUSTOMER, 4, 9, f"'class ' || {_CUSTOMER} || ' extends Base'"),
+            ("method", "'pay'", f"{_CUSTOMER} || '.pay'", 5, 5, "'pay(x: number): number'"),
+            ("method", "'check'", f"{_CUSTOMER} || '.check'", 6, 8, "'check(x)'"),
+            ("endpoint", _POST, _POST, 10, 12, "'router.post(\"/customers/' || c_custkey || '\", (req) =>'"),
+        ],
+    )
+    + " UNION ALL "
+    + _symbol_sql(
+        "'nations/n' || n_nationkey || '.js'",
+        "nation",
+        [("function", "'nation' || n_nationkey", "'nation' || n_nationkey", 1, 1, "'function nation' || n_nationkey || '()'")],
+    ),
+)
+def extract_ts_symbols(spark, sf):
+    return _symbols(typescript.extract(_source(code.ts_files(spark, sf))))
+
+
+@register(
+    "extract_ts_refs",
+    _ref_sql(
+        _TS_PATH,
+        "customer",
+        [
+            ("''", "import", "'../nations/n' || c_nationkey", "''", "''", 1),
+            ("''", "import", "'fs'", "''", "''", 2),
+            (_CUSTOMER, "implements", "'Base'", "''", "''", 4),
+            (f"{_CUSTOMER} || '.pay'", "call", "'check'", "''", "''", 5),
+            (f"{_CUSTOMER} || '.check'", "call", "'audit'", "''", "''", 7),
+            (_POST, "call", "'post'", "''", "''", 10),
+            (_POST, "call", "'pay'", "''", "''", 11),
+        ],
+    ),
+)
+def extract_ts_refs(spark, sf):
+    return _refs(typescript.extract(_source(code.ts_files(spark, sf))))
+
+
+@register(
+    "extract_page_scripts",
+    """SELECT 'pages/p' || page_id || '.js' AS path, 'page' || page_id AS qualified, 'call' AS ref_kind,
+       unnest(list_distinct(regexp_extract_all(regexp_extract(html, '<script[^>]*>(.*?)</script>', 1), '(\\w+)\\(', 1))) AS name,
+       '' AS receiver_type, '' AS receiver_var, 1 AS line FROM pages""",
+)
+def extract_page_scripts(spark, sf):
+    return _refs(typescript.extract(code.page_scripts(spark, sf)))
+
+
+_CS_PATH = "'api/s' || s_suppkey || '.cs'"
+_CONTROLLER = "'S' || s_suppkey || 'Controller'"
+_GET = "'GET api/S' || s_suppkey || '/{id}'"
+
+
+@register(
+    "extract_cs_symbols",
+    _symbol_sql(
+        _CS_PATH,
+        "supplier",
+        [
+            ("class", _CONTROLLER, _CONTROLLER, 6, 17, f"'[Route(\"api/[controller]\")] public class ' || {_CONTROLLER} || ' : IBase'"),
+            ("method", "'Get'", f"{_CONTROLLER} || '.Get'", 11, 16, "'[HttpGet(\"'"),
+            ("endpoint", _GET, _GET, 11, 16, "'[HttpGet(\"'"),
+        ],
+    ),
+)
+def extract_cs_symbols(spark, sf):
+    return _symbols(csharp.extract(_source(code.cs_files(spark, sf))))
+
+
+@register(
+    "extract_cs_refs",
+    _ref_sql(
+        _CS_PATH,
+        "supplier",
+        [
+            ("''", "import", "'System'", "''", "''", 1),
+            (_CONTROLLER, "implements", "'IBase'", "''", "''", 6),
+            (f"{_CONTROLLER} || '.Get'", "create", "'Money'", "''", "''", 13),
+            (f"{_CONTROLLER} || '.Get'", "call", "'Round'", "'Money'", "''", 14),
+            (f"{_CONTROLLER} || '.Get'", "call", "'Load'", "'Nation' || s_nationkey", "''", 15),
+            (_GET, "call", f"{_CONTROLLER} || '.Get'", "''", "''", 11),
+        ],
+    ),
+)
+def extract_cs_refs(spark, sf):
+    return _refs(csharp.extract(_source(code.cs_files(spark, sf))))
+
+
+_PY_PATH = "'orders/o' || o_orderkey || '.py'"
+_ORDER = "'Order' || o_orderkey"
+_PUT = "'PUT /orders/' || o_orderkey"
+
+
+@register(
+    "extract_py_symbols",
+    _symbol_sql(
+        _PY_PATH,
+        "orders",
+        [
+            ("class", _ORDER, _ORDER, 4, 15, f"'class ' || {_ORDER} || '(Order)'"),
+            ("method", "'__init__'", f"{_ORDER} || '.__init__'", 5, 6, "'def __init__(self, key=' || o_orderkey || ')'"),
+            ("method", "'ship'", f"{_ORDER} || '.ship'", 8, 13, "'def ship(self)'"),
+            ("endpoint", _PUT, _PUT, 8, 13, "'def ship(self)'"),
+            ("method", "'check'", f"{_ORDER} || '.check'", 15, 15, "'def check(self)'"),
+        ],
+    ),
+)
+def extract_py_symbols(spark, sf):
+    return _symbols(python.extract(_source(code.py_files(spark, sf))))
+
+
+@register(
+    "extract_py_refs",
+    _ref_sql(
+        _PY_PATH,
+        "orders",
+        [
+            ("''", "import", "'os'", "''", "''", 1),
+            ("''", "import", "'.base'", "''", "''", 2),
+            (_ORDER, "implements", "'Order'", "''", "''", 4),
+            (f"{_ORDER} || '.__init__'", "call", "'Money'", "''", "''", 6),
+            (f"{_ORDER} || '.ship'", "call", "'round'", "'Money'", "''", 11),
+            (f"{_ORDER} || '.ship'", "call", "'check'", _ORDER, "''", 12),
+            (f"{_ORDER} || '.ship'", "call", "'send'", "''", "'helper'", 12),
+            (f"{_ORDER} || '.ship'", "call", "'label'", "''", "''", 12),
+            (f"{_ORDER} || '.ship'", "call", "'Customer' || o_custkey", "''", "''", 13),
+            (_PUT, "call", f"{_ORDER} || '.ship'", "''", "''", 8),
+        ],
+    ),
+)
+def extract_py_refs(spark, sf):
+    return _refs(python.extract(_source(code.py_files(spark, sf))))
+
+
+@register("extract_py_module_vars", f"SELECT {_PY_PATH} AS path, 'order_' || o_orderkey AS name, {_ORDER} AS type_name FROM orders")
+def extract_py_module_vars(spark, sf):
+    return python.extract(_source(code.py_files(spark, sf))).module_vars
+
+
+_GO_ID = f"'symbol::' || {_GO_PATH} || '::Part' || p_partkey"
+_TS_ID = f"'symbol::' || {_TS_PATH} || '::'"
+_CS_ID = f"'symbol::' || {_CS_PATH} || '::'"
+
+
+@register(
+    "analyze_edges",
+    _rows_sql(
+        "part",
+        f"'file::' || {_GO_PATH} AS from_id, {_GO_ID} AS to_id, 'defines' AS kind",
+        f"'file::' || {_GO_PATH}, {_GO_ID} || '.Price', 'defines'",
+        f"'file::' || {_GO_PATH}, {_GO_ID} || '.Size', 'defines'",
+        f"{_GO_ID} || '.Price', {_GO_ID} || '.Size', 'calls'",
+    )
+    + " UNION ALL "
+    + _rows_sql(
+        "customer",
+        f"'file::' || {_TS_PATH}, {_TS_ID} || {_CUSTOMER}, 'defines'",
+        f"'file::' || {_TS_PATH}, {_TS_ID} || {_CUSTOMER} || '.pay', 'defines'",
+        f"'file::' || {_TS_PATH}, {_TS_ID} || {_CUSTOMER} || '.check', 'defines'",
+        f"'file::' || {_TS_PATH}, {_TS_ID} || {_POST}, 'defines'",
+        f"'file::' || {_TS_PATH}, 'file::nations/n' || c_nationkey || '.js', 'imports'",
+        f"{_TS_ID} || {_CUSTOMER} || '.pay', {_TS_ID} || {_CUSTOMER} || '.check', 'calls'",
+        f"{_TS_ID} || {_POST}, {_TS_ID} || {_CUSTOMER} || '.pay', 'calls'",
+    )
+    + " UNION ALL "
+    + _rows_sql("nation", "'file::nations/n' || n_nationkey || '.js', 'symbol::nations/n' || n_nationkey || '.js::nation' || n_nationkey, 'defines'")
+    + " UNION ALL "
+    + _rows_sql(
+        "supplier",
+        f"'file::' || {_CS_PATH}, {_CS_ID} || {_CONTROLLER}, 'defines'",
+        f"'file::' || {_CS_PATH}, {_CS_ID} || {_CONTROLLER} || '.Get', 'defines'",
+        f"'file::' || {_CS_PATH}, {_CS_ID} || {_GET}, 'defines'",
+        f"{_CS_ID} || {_GET}, {_CS_ID} || {_CONTROLLER} || '.Get', 'calls'",
+    ),
+)
+def analyze_edges(spark, sf):
+    return analyze_files(code.all_files(spark, sf)).edges.select("from_id", "to_id", "kind")
+
+
+@register(
+    "analyze_node_kinds",
+    """SELECT 'go' AS language, unnest(['file', 'type', 'method']) AS kind, unnest([n, n, 2 * n]) AS n FROM (SELECT count(*) AS n FROM part)
+    UNION ALL SELECT 'typescript', unnest(['file', 'class', 'method', 'endpoint', 'function']), unnest([n + m, n, 2 * n, n, m])
+      FROM (SELECT count(*) AS n FROM customer), (SELECT count(*) AS m FROM nation)
+    UNION ALL SELECT 'csharp', unnest(['file', 'class', 'method', 'endpoint']), unnest([n, n, n, n]) FROM (SELECT count(*) AS n FROM supplier)""",
+)
+def analyze_node_kinds(spark, sf):
+    nodes = analyze_files(code.all_files(spark, sf)).nodes
+    return nodes.groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n"))
