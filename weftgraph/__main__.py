@@ -51,7 +51,7 @@ def _parser() -> argparse.ArgumentParser:
 
 def json_rows(rows: DataFrame, *order: F.Column) -> Iterable[str]:
     """Rows as JSON objects, fetched one partition at a time."""
-    ordered = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("j"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    ordered = rows.select(F.to_json(F.struct(*rows.columns)).alias("j"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
     for row in ordered.orderBy(*[f"_o{i}" for i in range(len(order))]).select("j").toLocalIterator():
         yield row["j"]
 
@@ -67,7 +67,16 @@ def _print_array(items: Iterable[str], indent: str = "") -> None:
 
 
 def _node() -> F.Column:
-    return F.struct(*NODE_COLUMNS).alias("node")
+    """A node for JSON; an empty signature or comment is left out."""
+    optional = ("signature", "doc_comment")
+    return F.struct(*[F.nullif(c, F.lit("")).alias(c) if c in optional else F.col(c) for c in NODE_COLUMNS]).alias("node")
+
+
+def _stub() -> F.Column:
+    """What stands for an id that is no node."""
+    values = {"id": F.col("id"), "name": F.col("id"), "start_line": F.lit(0), "end_line": F.lit(0)}
+    empty = {"signature": F.lit(None).cast("string"), "doc_comment": F.lit(None).cast("string")}
+    return F.struct(*[{**values, **empty}.get(c, F.lit("")).alias(c) for c in NODE_COLUMNS])
 
 
 def _reach(args, graph: CodeGraph) -> None:
@@ -119,7 +128,7 @@ def _flow(args, graph: CodeGraph) -> None:
     if args.json:
         nodes = graph.nodes.select(F.col("id"), _node())
         step = steps.select("path_key", "pos", "via", "id").join(nodes, "id", "left")
-        node = F.coalesce("node", F.struct(*[(F.col("id") if c in ("id", "name") else F.lit(None).cast(graph.nodes.schema[c].dataType)).alias(c) for c in NODE_COLUMNS]))
+        node = F.coalesce("node", _stub())
         listed = step.groupBy("path_key").agg(F.sort_array(F.collect_list(F.struct("pos", node.alias("node"), "via"))).alias("s"))
         rows = listed.select(F.transform("s", lambda s: F.struct(s["node"].alias("node"), s["via"].alias("via"))).alias("steps"), "path_key")
         print('{\n  "root": ' + _quoted(root) + ',\n  "paths":', end=" ")

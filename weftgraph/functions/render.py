@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import display_name, edge_label, mermaid_id, quoted
 
+# What is shown instead of an empty result.
 NOTHING_DEPENDS = "Nothing depends on this — safe to change in isolation (no known dependents in the graph)."
 NO_DEPENDENCIES = "This doesn't depend on anything else in the graph (no known dependencies)."
 

@@ -47,7 +47,12 @@ def coupling_scores(edges: DataFrame) -> DataFrame:
 def top_coupled(nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
     """Nodes by total coupling, ties by id.  ``limit`` <= 0 keeps all.
 
-    Dangling endpoints count as neighbours but are not ranked themselves.
+    Dangling endpoints count as neighbours but are not ranked themselves.  With
+    a limit only the ids of the nodes take part in the ranking; the other
+    columns are fetched for the rows that remain.
     """
-    ranked = coupling_scores(edges).join(nodes, "id").orderBy(F.desc("total"), "id")
-    return ranked.limit(limit) if limit > 0 else ranked
+    scores = coupling_scores(edges)
+    if limit > 0:
+        known = scores.join(nodes.select("id"), "id", "left_semi")
+        scores = known.orderBy(F.desc("total"), "id").limit(limit)
+    return scores.join(nodes, "id").orderBy(F.desc("total"), "id")

@@ -40,8 +40,8 @@ def write_counted(df: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and read it back."""
+def materialize(df: DataFrame, label: str, *folders: str) -> DataFrame:
+    """Write ``df`` once and read it back; ``folders`` are columns to prune by."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
