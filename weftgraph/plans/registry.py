@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph import ask
 from weftgraph.extract import csharp, go, python, typescript
 from weftgraph.extract.analyze import analyze_files
 from weftgraph.functions import answers, render, text
@@ -472,6 +473,34 @@ def resolve_interface(spark, sf):
     return _typed(spark, sf, "interface")
 
 
+@register(
+    "resolve_imports",
+    """WITH files AS (SELECT 'file::' || p_brand || '/p' || p_partkey || '.ts' AS id, p_brand, p_partkey FROM part)
+    SELECT u.p_brand || '/p' || u.p_partkey || '.ts' AS path, './p' || l_suppkey AS name, f.id AS to_id, count(*) AS times
+    FROM lineitem JOIN part u ON u.p_partkey = l_partkey JOIN files f ON f.p_partkey = l_suppkey AND f.p_brand = u.p_brand GROUP BY ALL
+    UNION ALL SELECT u.p_brand || '/p' || u.p_partkey || '.ts', '../' || f.p_brand || '/./p' || l_suppkey, f.id, count(*)
+    FROM lineitem JOIN part u ON u.p_partkey = l_partkey JOIN files f ON f.p_partkey = l_suppkey GROUP BY ALL""",
+)
+def resolve_imports(spark, sf):
+    return _resolved(resolve.resolve_imports(*star.import_tables(spark, sf)), "path", "name")
+
+
+@register(
+    "source_order_merge",
+    """WITH acts AS (
+      SELECT l_orderkey, 'part::' || l_partkey AS name, struct_pack(l := l_linenumber, c := 0, o := l_partkey) AS spot FROM lineitem
+      UNION ALL SELECT l_orderkey, 'supplier::' || l_suppkey, struct_pack(l := l_linenumber, c := 1, o := l_suppkey) FROM lineitem)
+    SELECT 'order::' || l_orderkey AS from_id, count(*) AS n, arg_min(name, spot) AS first_action, arg_max(name, spot) AS last_action
+    FROM acts GROUP BY l_orderkey""",
+)
+def source_order_merge(spark, sf):
+    # The merged order is the sort order of seq; nothing has to be listed or numbered.
+    acts = star.actions(spark, sf).groupBy("from_id")
+    return acts.agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("name", "seq").alias("first_action"), F.max_by("name", "seq").alias("last_action")
+    )
+
+
 # --- scalar renderings -------------------------------------------------------------------
 
 
@@ -530,6 +559,51 @@ def edge_labels(spark, sf):
     return named.select("to_id", text.edge_label(F.col("kind"), text.display_name()).alias("label"))
 
 
+@register(
+    "signature_lines",
+    "SELECT doc_id, trim(regexp_replace(split_part(text, '.', 1), '\\s+', ' ', 'g')) AS line FROM documents",
+)
+def signature_lines(spark, sf):
+    return star.table(spark, sf, "documents").select("doc_id", text.signature(F.col("text"), ".").alias("line"))
+
+
+@register(
+    "quoted_labels",
+    """SELECT doc_id, '"' || replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'),
+       chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r') || '"' AS label FROM documents""",
+)
+def quoted_labels(spark, sf):
+    return star.table(spark, sf, "documents").select("doc_id", text.quoted(F.col("text")).alias("label"))
+
+
+@register(
+    "type_names",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Part' || l_partkey AS normal FROM lineitem",
+)
+def type_names(spark, sf):
+    declared = F.concat(
+        F.lit(" Part"),
+        F.col("l_partkey").cast("string"),
+        F.when(F.col("l_returnflag") == "A", "?").when(F.col("l_returnflag") == "N", "<List<int>>").otherwise("[]?"),
+    )
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return star.table(spark, sf, "lineitem").select(*keys, text.normalized_type(declared).alias("normal"))
+
+
+@register(
+    "ask_context",
+    _AROUND
+    + """ SELECT 'NODES:' AS line UNION ALL SELECT '' UNION ALL SELECT 'EDGES:'
+    UNION ALL SELECT '- [' || kind || '] ' || name || ' (' || file || ') :: ' || CASE WHEN signature <> '' THEN signature ELSE name END
+      FROM nodes JOIN dist USING (id)
+    UNION ALL SELECT '- ' || from_id || ' --' || e.kind || '--> ' || to_id FROM edges e JOIN dist d ON d.id = e.from_id WHERE d.distance < 2
+    UNION ALL SELECT '- ' || from_id || ' --' || e.kind || '--> ' || to_id FROM edges e JOIN dist d ON d.id = e.to_id WHERE d.distance < 2""",
+)
+def ask_context(spark, sf):
+    around = traverse.expand_subgraph(*_graph(spark, sf), ["supplier::3", "customer::5"])
+    return ask.context_lines(*around).select("line")
+
+
 # --- model answers and token streams -----------------------------------------------------
 
 

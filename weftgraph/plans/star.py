@@ -238,3 +238,31 @@ def typed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         )
     )
     return types, kinds, implements, calls
+
+
+def import_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(imports, files): one file per part in its brand's folder.
+
+    Every line item makes its part's file import its supplier's namesake twice:
+    from the same folder, which only works within a brand, and through the
+    brand's folder.
+    """
+    part = table(spark, sf_dir, "part")
+    path = F.concat("p_brand", F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".ts"))
+    files = part.select(F.concat(F.lit("file::"), path).alias("id"), path.alias("path"), path.alias("file_key"))
+    user = part.select(F.col("p_partkey").alias("l_partkey"), path.alias("path"))
+    used = part.select(F.col("p_partkey").alias("l_suppkey"), F.col("p_brand").alias("used_brand"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    items = table(spark, sf_dir, "lineitem").select(*keys).join(user, "l_partkey").join(used, "l_suppkey")
+    supplier = F.col("l_suppkey").cast("string")
+    names = F.array(F.concat(F.lit("./p"), supplier), F.concat(F.lit("../"), "used_brand", F.lit("/./p"), supplier))
+    return items.select("path", F.explode(names).alias("name"), *keys), files
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order does, as references: calls of parts and creations of suppliers by line number."""
+    items = table(spark, sf_dir, "lineitem")
+    order = _id("order", "l_orderkey").alias("from_id")
+    calls = items.select(order, _id("part", "l_partkey").alias("name"), _seq(3, "order", "l_orderkey", "l_linenumber", 0, "l_partkey"))
+    creates = items.select(order, _id("supplier", "l_suppkey").alias("name"), _seq(3, "order", "l_orderkey", "l_linenumber", 1, "l_suppkey"))
+    return calls.unionByName(creates)
