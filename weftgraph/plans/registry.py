@@ -339,7 +339,16 @@ def ascii_flow(spark, sf):
     return tree.select(F.size("branch").alias("depth"), "label")
 
 
-@register("ascii_flow_lines")
+@register(
+    "ascii_flow_lines",
+    f"""WITH RECURSIVE {S.NODES}, {S.ORDERED_EDGES}, e AS (SELECT from_id, to_id, kind, min(spot) AS spot FROM ordered GROUP BY ALL),
+     r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY spot DESC, to_id DESC, kind DESC) = 1 AS is_last FROM e),
+     walk AS (SELECT 'order::7' AS tail, '' AS stem, '' AS start, 'calls' AS via, 0 AS d
+       UNION ALL SELECT r.to_id, w.stem || CASE WHEN is_last THEN '     ' ELSE '│    ' END,
+         w.stem || CASE WHEN is_last THEN '└─► ' ELSE '├─► ' END, r.kind, w.d + 1 FROM walk w JOIN r ON r.from_id = w.tail WHERE w.d < 5)
+    SELECT start || CASE WHEN via = 'calls' THEN '' ELSE '[' || via || '] ' END
+      || CASE WHEN qualified <> '' THEN qualified ELSE name END AS line FROM walk JOIN nodes ON id = tail""",
+)
 def ascii_flow_lines(spark, sf):
     nodes, edges = _graph(spark, sf)
     return render.flow_lines(paths.path_steps(paths.flow_paths(edges, "order::7"), nodes)).select("line")

@@ -18,6 +18,15 @@ EDGES = """edges AS (
   UNION ALL SELECT 'order::' || l_orderkey, 'part::' || l_partkey, 'calls' FROM lineitem
   UNION ALL SELECT 'part::' || l_partkey, 'supplier::' || l_suppkey, 'instantiates' FROM lineitem)"""
 
+ORDERED_EDGES = """ordered AS (
+  SELECT 'region::' || n_regionkey AS from_id, 'nation::' || n_nationkey AS to_id, 'defines' AS kind,
+         struct_pack(p := 0, s := n_nationkey, l := 0, c := 0, o := 0) AS spot FROM nation
+  UNION ALL SELECT 'customer::' || c_custkey, 'nation::' || c_nationkey, 'implements', struct_pack(p := 2, s := c_custkey, l := 0, c := 0, o := 0) FROM customer
+  UNION ALL SELECT 'supplier::' || s_suppkey, 'nation::' || s_nationkey, 'implements', struct_pack(p := 2, s := s_suppkey, l := 0, c := 0, o := 0) FROM supplier
+  UNION ALL SELECT 'order::' || o_orderkey, 'customer::' || o_custkey, 'calls', struct_pack(p := 3, s := o_orderkey, l := 0, c := 0, o := 0) FROM orders
+  UNION ALL SELECT 'order::' || l_orderkey, 'part::' || l_partkey, 'calls', struct_pack(p := 3, s := l_orderkey, l := l_linenumber, c := 0, o := l_partkey) FROM lineitem
+  UNION ALL SELECT 'part::' || l_partkey, 'supplier::' || l_suppkey, 'instantiates', struct_pack(p := 3, s := l_partkey, l := l_orderkey, c := 1, o := l_linenumber) FROM lineitem)"""
+
 EVENT_EDGES = """edges AS (
   SELECT CASE WHEN value < 10 THEN 'type::' || event_type ELSE 'user::' || user_id END AS from_id,
          CASE WHEN value < 10 THEN 'user::' || user_id ELSE 'type::' || event_type END AS to_id,
