@@ -173,3 +173,31 @@ def test_last_registered_language_wins():
     assert by_extension(LANGUAGES)[".tsx"].name == "typescript"
     other = type(LANGUAGES[0])("other", (".go",), LANGUAGES[0].extract)
     assert by_extension((*LANGUAGES, other))[".go"].name == "other"
+
+
+def test_graph_saved_before_qualified_names(spark, tmp_path):
+    old = GraphStore(spark, str(tmp_path))
+    nodes = spark.createDataFrame([("a", "class", "A", "f.py", "python", 1, 2)], "id string, kind string, name string, file string, language string, start_line int, end_line int")
+    edges = spark.createDataFrame([], "from_id string, to_id string, kind string")
+    base = f"{old.path('t')}/v1"
+    nodes.write.parquet(f"{base}/nodes")
+    edges.write.parquet(f"{base}/edges")
+    edges.write.parquet(f"{base}/edges_by_target")
+    old._append(f"{old.path('t')}/log", "version", "v1")
+    row = old.load("t")[0].first()
+    assert (row["name"], row["qualified"], row["signature"]) == ("A", "", "")
+
+
+def test_analyze_command(spark, tmp_path, capsys):
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code" / "a.py").write_text("def f(): g()\ndef g(): pass\n")
+    assert cli.main(["--warehouse", str(tmp_path / "w"), "analyze", str(tmp_path / "code")]) == 0
+    out = capsys.readouterr().out
+    assert "python: 1 files" in out and "3 nodes, 3 edges" in out
+    assert cli.main(["--warehouse", str(tmp_path / "w"), "analyze", str(tmp_path / "none")]) == 1
+    assert cli.main(["--warehouse", str(tmp_path / "other"), "coupling"]) == 1
+
+
+def test_empty_folder(spark, tmp_path):
+    analysis = weftgraph.analyze(spark, str(tmp_path))
+    assert analysis.nodes.count() == 0 and analysis.edges.count() == 0

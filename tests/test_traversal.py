@@ -192,3 +192,33 @@ def test_small_service_graph(spark):
     top = coupling.top_coupled(nodes, edges, 1).first()
     assert (top["id"], top["fan_in"], top["fan_out"], top["total"]) == ("svc", 1, 2, 3)
     assert traverse.impact(nodes, make_edges(spark, [("f", "fn", "defines")]), "fn").count() == 0
+
+
+def test_same_results_without_broadcasts(spark, graph):
+    """What a large frontier or index does: shuffled joins, no id filter in the scan."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    pushed, traverse.PUSHED_IDS = traverse.PUSHED_IDS, -1
+    try:
+        rows = traverse.impact(*graph, roots_frame(spark)).collect()
+        got = {(r["root"], r["id"]): (r["distance"], r["via"]) for r in rows}
+        found = paths.flow_paths(graph[1], ROOTS[0], 3).orderBy(*paths.path_order()).collect()
+    finally:
+        traverse.PUSHED_IDS = pushed
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(root, i): v for root in ROOTS for i, v in walk(root, False, 0).items()}
+    assert [[(s["id"], s["via"]) for s in r["steps"]] for r in found] == simple_paths(ROOTS[0], 3)
+
+
+def test_hub_with_a_third_of_all_edges(spark):
+    """One node that most others call: every caller is found once, in one level."""
+    n = 30_000
+    ids = spark.range(n).selectExpr("concat('m', id) AS from_id", "id")
+    seq = "named_struct('phase', 3, 'file_key', '', 'sym_ord', id, 'line', 0L, 'is_create', 0, 'ord', {})"
+    hub = ids.selectExpr("from_id", "'hub' AS to_id", "'calls' AS kind", seq.format("0L") + " AS seq")
+    ring = ids.selectExpr("from_id", f"concat('m', (id + 1) % {n}) AS to_id", "'imports' AS kind", seq.format("1L") + " AS seq")
+    edges = hub.unionByName(hub).unionByName(ring)
+    nodes = ids.selectExpr("from_id AS id", "'method' AS kind", "from_id AS name", "'' AS qualified", "'' AS file")
+    hits = traverse.impact(nodes, edges, "hub")
+    assert [tuple(r) for r in hits.groupBy("distance", "via").count().collect()] == [(1, "calls", n)]
+    top = coupling.top_coupled(nodes.unionByName(spark.createDataFrame([("hub", "class", "hub", "", "")], nodes.schema)), edges, 1).first()
+    assert (top["id"], top["fan_in"], top["fan_out"]) == ("hub", n, 0)
