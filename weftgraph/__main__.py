@@ -82,7 +82,7 @@ def _stub() -> F.Column:
 def _reach(args, graph: CodeGraph) -> None:
     forward = args.command == "dependencies"
     root = graph.find(args.symbol)
-    hits = (graph.dependencies if forward else graph.impact)(root, args.depth)
+    hits = (graph.dependencies_of if forward else graph.impact_of)(root, args.depth)
     if args.json:
         rows = hits.select(_node(), "distance", "via")
         print('{\n  "root": ' + _quoted(root) + ',\n  "impacted":', end=" ")

@@ -35,10 +35,17 @@ class CodeGraph:
         return search.find_symbol(self.nodes, symbol)
 
     def impact(self, symbol: str, depth: int = 0) -> DataFrame:
-        return traverse.impact(self.nodes, self.edges_by_target, self.find(symbol), depth)
+        return self.impact_of(self.find(symbol), depth)
 
     def dependencies(self, symbol: str, depth: int = 0) -> DataFrame:
-        return traverse.dependencies(self.nodes, self.edges, self.find(symbol), depth)
+        return self.dependencies_of(self.find(symbol), depth)
+
+    def impact_of(self, roots: str | Iterable[str] | DataFrame, depth: int = 0) -> DataFrame:
+        """Impact of known ids, any number at once."""
+        return traverse.impact(self.nodes, self.edges_by_target, roots, depth)
+
+    def dependencies_of(self, roots: str | Iterable[str] | DataFrame, depth: int = 0) -> DataFrame:
+        return traverse.dependencies(self.nodes, self.edges, roots, depth)
 
     def coupling(self, top: int = 10) -> DataFrame:
         return coupling.top_coupled(self.nodes, self.edges, top)
@@ -47,7 +54,10 @@ class CodeGraph:
         return lenses.line_entries(self.coupling(top=0))
 
     def flow(self, symbol: str, depth: int = paths.DEFAULT_DEPTH) -> DataFrame:
-        return paths.flow_paths(self.edges, self.find(symbol), depth)
+        return self.flow_of(self.find(symbol), depth)
+
+    def flow_of(self, roots: str | Iterable[str] | DataFrame, depth: int = paths.DEFAULT_DEPTH) -> DataFrame:
+        return paths.flow_paths(self.edges, roots, depth)
 
     def flow_steps(self, flow: DataFrame) -> DataFrame:
         return paths.path_steps(flow, self.nodes)
@@ -108,7 +118,7 @@ def analyze_and_save(
     return CodeGraph.load(store, path), analysis
 
 
-def flow_document(graph: CodeGraph, symbol: str, depth: int = paths.DEFAULT_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three renderings of a flow: steps, tree lines and flowchart lines."""
-    steps = graph.flow_steps(graph.flow(symbol, depth))
+def flow_document(graph: CodeGraph, root: str, depth: int = paths.DEFAULT_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three renderings of the flow of a known id: steps, tree lines and flowchart lines."""
+    steps = graph.flow_steps(graph.flow_of(root, depth))
     return steps, render.flow_lines(steps), render.mermaid_lines(steps)

@@ -34,7 +34,12 @@ def symbol_candidates(nodes: DataFrame, query: str) -> DataFrame:
 
 
 def find_symbol(nodes: DataFrame, query: str) -> str:
-    """The id of the one node that ``query`` names, or an error listing the others."""
+    """The id of the one node that ``query`` names, or an error listing the others.
+
+    An id is looked for first: that filter reaches the scan, names need all of it.
+    """
+    if not nodes.filter(F.col("id") == query).isEmpty():
+        return query
     hits = symbol_candidates(nodes, query)
     first = [r["id"] for r in hits.select("id").take(2)]
     if not first:
