@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import quality_rules
+from weftgraph.llm import decontaminate, mixing, ngram_join, quality_rules, token_codes
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,3 +30,24 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def op5_quality_rules(spark, sf):
     judged = quality_rules.judged(table(spark, sf, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@register("op10_ngram_join")
+def op10_ngram_join(spark, sf):
+    return ngram_join.link(table(spark, sf, "documents"))
+
+
+@register("op4_decontaminate")
+def op4_decontaminate(spark, sf):
+    found = decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "distance", "item_chars")
+
+
+@register("op8_token_codes")
+def op8_token_codes(spark, sf):
+    return token_codes.round_trip(table(spark, sf, "documents"))
+
+
+@register("op9_mixing")
+def op9_mixing(spark, sf):
+    return mixing.sampled(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

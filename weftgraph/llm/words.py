@@ -62,21 +62,33 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def hashed(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buffer, start and end of each word in it, its hash, count of words before each text plus the total)."""
-    buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    if lower:
-        buf = _LOWER[buf]
-    space = _SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    if len(ends) < len(starts):
-        ends = np.append(ends, len(buf))
+def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in a buffer that ends with a blank."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buf])).view(np.int8)))
+    return edge[0::2], edge[1::2]
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     powers, inverse = _tables(len(buf))
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[buf] * powers[: len(buf)], dtype=np.uint64)))
-    h = mixed((sums[ends] - sums[starts]) * inverse[starts])
-    place = np.cumsum(np.array([0] + [len(t) + 1 for t in texts]))
-    return buf, starts, ends, h, np.searchsorted(starts, place)
+    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a blank after each, and where each begins, with the end."""
+    return np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8), np.cumsum(np.array([0] + [len(t) + 1 for t in texts]))
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    return _LOWER[buf]
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word with A-Z lowered, and the number of words before each text, with the total."""
+    buf, place = joined(texts)
+    buf = lowered(buf)
+    starts, ends = spans(buf)
+    return hash_spans(buf, starts, ends), np.searchsorted(starts, place)
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
@@ -94,6 +106,6 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 def shingle_sets(texts: list[bytes], k: int = 5) -> Iterator[np.ndarray]:
     """The sorted set of each text's shingles, with A-Z lowered."""
     for a, b in blocks(texts):
-        _, _, _, h, at = hashed(texts[a:b], lower=True)
+        h, at = hashed(texts[a:b])
         for i in range(b - a):
             yield np.unique(windows(h[at[i] : at[i + 1]], k))
