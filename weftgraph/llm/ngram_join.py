@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import binary_of
@@ -411,3 +411,21 @@ def link(docs: DataFrame, k: int = 5, near: int = 75) -> DataFrame:
     where = where.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("gn"), F.coalesce("component", "doc_id").alias("component_id"))
     out = rows.join(where, (rows["f1"] == where["g1"]) & (rows["f2"] == where["g2"]) & (rows["n_shingles"] == where["gn"]), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, near: int = 75) -> DataFrame:
+    """``docs`` with one document of each group of linked ones, that with the least id; all columns stay.
+
+    Empty texts link with nothing and stay.  Of rows that repeat an id, or that
+    have no id and the same text, the one with the least text hash stays.
+    """
+    found = link(docs, k, near)
+    heads = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("h_id")).distinct()
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("k_id"), F.xxhash64("text").alias("k_hash"))
+    named = keyed.where(F.col("k_id").isNotNull()).join(heads, F.col("k_id") == F.col("h_id"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("k_id").orderBy("k_hash"))
+    named = named.withColumn("place", first).where(F.col("place") == 1)
+    # Rows without an id: dropped where a document with an id has their text.
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.xxhash64("text").alias("n_hash")).distinct()
+    free = keyed.where(F.col("k_id").isNull()).join(known, F.col("k_hash") == F.col("n_hash"), "left_anti").dropDuplicates(["k_hash"])
+    return named.select("row.*").union(free.select("row.*"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, mixing, ngram_join, quality_rules, token_codes
+import corpus_pipeline
+from weftgraph.llm import decontaminate, mixing, ngram_join, quality_rules, token_codes, url_filter
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +52,11 @@ def op8_token_codes(spark, sf):
 @register("op9_mixing")
 def op9_mixing(spark, sf):
     return mixing.sampled(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+
+
+@register("op1_url_filter")
+def op1_url_filter(spark, sf):
+    return url_filter.judged(table(spark, sf, "pages"))

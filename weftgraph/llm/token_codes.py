@@ -66,6 +66,8 @@ def _pack(values: np.ndarray, width: int) -> bytes:
 
 
 def _unpack(data: bytes, n: int, width: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype=np.uint32)
     packed = np.frombuffer(data, dtype=np.uint8)
     half = np.stack((packed & 15, packed >> 4), axis=1).ravel()[: n * width // 4].reshape(n, -1)
     out = np.zeros(n, dtype=np.uint32)
