@@ -23,10 +23,13 @@ distance of a dense 256-bit parity sketch, then compared shingle by shingle.
 **Groups.**  Equal sets are one class and enter once.  A piece shared by up to
 ``SMALL`` classes gives all its pairs; a larger group gives pairs with its least
 member only.  When these are verified and joined into components, a large group
-whose members are in one component is settled.  Others are split by a second,
-third, ... piece of their members (partners share more than one piece), until
-they are small.  So the work follows the number of entries, no group is paired
-in full because it is large, and no link between components is lost.
+whose members are in one component is settled.  In the others, members of
+different components are held against each other by sketch, and only pairs
+within the Hamming bound are verified: first each member's nearest partner in
+every other component, then what still spans components.  Groups of more than
+``LARGE`` are split before by a second, third, ... piece (partners share more
+than one).  So no group is paired in full because it is large, members of one
+component are not paired at all, and no link between components is lost.
 
 Keys are shuffled as packed arrays, not rows: about nine bytes each.
 
@@ -56,6 +59,8 @@ SMALL = 16
 CHUNK = 256
 #: Keys packed together by one map task, and expected keys per bucket.
 FLUSH, BUCKET = 1_000_000, 1_500_000
+#: Members above which a group is split by further pieces, members compared in one task, and bits of the widest dense sketch.
+LARGE, BLOCK, WIDEST = 20_000, 4096, 16_384
 _U = np.uint64
 _M40 = _U((1 << 40) - 1)
 
@@ -117,18 +122,30 @@ def entries(h: np.ndarray, bands: Bands, whole: bool = False) -> list[tuple[int,
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((h >> _U(20) & _U(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).tobytes()
+    """Dense parity sketch of 256, 512, ... bits, at least four for a shingle up to ``WIDEST``.
+
+    Half of a sketch folded onto the other is the sketch of half the width.
+    """
+    bits = 256
+    while bits < min(4 * len(h), WIDEST):
+        bits *= 2
+    flips = np.bincount((h >> _U(20) & _U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketch: bytes, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, dtype=np.uint64).reshape(-1, words), axis=0)
 
 
 def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.to_pylist()]
 
 
-_SETS = "doc_id bigint, text_hash bigint, n_shingles bigint, f1 bigint, f2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+_SETS = "doc_id bigint, text_hash bigint, n_shingles bigint, f1 bigint, f2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, sketch binary"
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """Per row: id, hash of the text, size and 128-bit fingerprint of the set, dense parity sketch."""
+    """Per row: id, hash of the text, size and 128-bit fingerprint of the set, dense parity sketch and its 256-bit fold."""
 
     def run(batches):
         for b in batches:
@@ -139,8 +156,8 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
                     fp.append((int(mixed(h).sum(dtype=_U)), int(mixed(h ^ _U(0xA5A5A5A5A5A5)).sum(dtype=_U)) ^ len(h)))
                 sk.append(_sketch(h))
             f = np.array(fp, dtype=_U).reshape(-1, 2).view(np.int64)
-            s = np.frombuffer(b"".join(sk), dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *[pa.array(f[:, i]) for i in (0, 1)], *[pa.array(s[:, i]) for i in range(4)]], names=[x.split()[0] for x in _SETS.split(", ")])
+            s = np.array([_folded(x, 4) for x in sk], dtype=_U).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *[pa.array(f[:, i]) for i in (0, 1)], *[pa.array(s[:, i]) for i in range(4)], pa.array(sk, pa.binary())], names=[x.split()[0] for x in _SETS.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), binary_of(F.col("text")))
     return rows.mapInArrow(run, _SETS)
@@ -283,7 +300,13 @@ def _possible(pairs: DataFrame, classes: DataFrame, near: int) -> DataFrame:
     return both.where(fits & F.col("a_doc_id").isNotNull() & F.col("b_doc_id").isNotNull()).select("a_doc_id", "a_text_hash", "b_doc_id", "b_text_hash")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, near: int) -> DataFrame:
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, h, t): the texts of the documents that ``wanted`` names by id and text hash, once each."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
+    return texts.join(wanted, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, near: int) -> DataFrame:
     """The pairs (a, b) of document ids whose sets are similar enough.
 
     Pairs are dealt by their first document, whose set is held while the others
@@ -308,9 +331,6 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, near: int) -> DataFrame:
     dealt = pairs.join(counts, "a_doc_id").withColumn("part", F.pmod(F.hash("b_doc_id"), F.col("parts")))
     wanted = dealt.select("a_doc_id", "part", F.col("b_doc_id").alias("b"), F.col("b_doc_id").alias("id"), F.col("b_text_hash").alias("h"))
     held = dealt.select("a_doc_id", "part", F.lit(None).cast("bigint").alias("b"), F.col("a_doc_id").alias("id"), F.col("a_text_hash").alias("h")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
-    once = wanted.union(held).select("id", "h").distinct()
-    texts = texts.join(once, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
     rows = wanted.union(held).join(texts, ["id", "h"]).select(F.col("a_doc_id").alias("a"), "part", "b", binary_of(F.col("t")).alias("t"))
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a bigint, b bigint")
 
@@ -318,7 +338,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, near: int) -> DataFrame:
 _PARTS = _KEYS + ", gid bigint, need bigint"
 
 
-def _split(open_groups: DataFrame, classes: DataFrame, docs: DataFrame, k: int, near: int, n_buckets: int) -> DataFrame:
+def _split(open_groups: DataFrame, classes: DataFrame, texts: DataFrame, k: int, near: int, n_buckets: int) -> DataFrame:
     """Members of open groups, entered by (group, any piece); and how many pieces a member's partners share with it."""
 
     def packed(keys, member, ids, needs):
@@ -348,8 +368,7 @@ def _split(open_groups: DataFrame, classes: DataFrame, docs: DataFrame, k: int,
 
     by_class = open_groups.groupBy("f1").agg(F.collect_set("gid").alias("gids"))
     reps = by_class.join(classes, "f1").select("gids", "f1", F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["id", "h"])
-    return reps.join(texts, ["id", "h"]).select("gids", "f1", binary_of(F.col("text"))).mapInArrow(run, _PARTS)
+    return reps.join(texts, ["id", "h"]).select("gids", "f1", binary_of(F.col("t"))).mapInArrow(run, _PARTS)
 
 
 def _placed(groups: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -361,9 +380,87 @@ def _placed(groups: DataFrame, classes: DataFrame, links: DataFrame) -> DataFram
     return materialize(placed.join(several, "gid"), "open")
 
 
-def link(docs: DataFrame, k: int = 5, near: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable by links) for every row of ``docs``."""
-    spark = docs.sparkSession
+def _close(ids: np.ndarray, n: np.ndarray, part: np.ndarray, block: np.ndarray, sketches: list[bytes], near: int, best: bool) -> np.ndarray:
+    """Pairs of members from different components that size and Hamming distance allow; shape (2, pairs).
+
+    Members are held against those up to 1/t larger, first by the folds of
+    their sketches, then by the sketches.  ``best`` keeps the nearest partner of
+    a member in every other component.
+    """
+    order = np.argsort(n, kind="stable")
+    n, part, block = n[order], part[order], block[order]
+    fold = np.array([_folded(sketches[i], 4) for i in order], dtype=_U).reshape(-1, 4)
+    two, found = block.max() != block.min(), []
+    for a in range(0, len(n), 256):
+        z = min(a + 256, len(n))
+        stop = int(np.searchsorted(n, n[z - 1] * 100 // near, side="right"))
+        for c in range(a, stop, 2048):
+            e = min(c + 2048, stop)
+            apart = np.bitwise_count(fold[a:z, None] ^ fold[None, c:e]).sum(axis=2, dtype=np.int64)
+            fits = (apart * (100 + near) <= (n[a:z, None] + n[None, c:e]) * (100 - near)) & (n[a:z, None] * 100 >= near * n[None, c:e])
+            fits &= (part[a:z, None] != part[None, c:e]) & (np.arange(a, z)[:, None] < np.arange(c, e)[None])
+            if two:
+                fits &= block[a:z, None] != block[None, c:e]
+            x, y = np.nonzero(fits)
+            found.append(np.stack((x + a, y + c)))
+    p, q = np.concatenate(found, axis=1)
+    far = np.zeros(len(p), dtype=np.int64)
+    words = np.array([len(sketches[i]) // 8 for i in order])
+    width = np.minimum(words[p], words[q])
+    for w in np.unique(width).tolist():
+        here = np.flatnonzero(width == w)
+        rows, at = np.unique(np.concatenate((p[here], q[here])), return_inverse=True)
+        table = np.array([_folded(sketches[order[r]], w) for r in rows], dtype=_U).reshape(-1, w)
+        for lo in range(0, len(here), 16_384):
+            some = slice(lo, lo + 16_384)
+            far[here[some]] = np.bitwise_count(table[at[: len(here)][some]] ^ table[at[len(here) :][some]]).sum(axis=1, dtype=np.int64)
+    fits = far * (100 + near) <= (n[p] + n[q]) * (100 - near)
+    p, q, far = p[fits], q[fits], far[fits]
+    if best and len(p):
+        x, y, d = np.concatenate((p, q)), np.concatenate((q, p)), np.concatenate((far, far))
+        by = np.lexsort((y, d, part[y], x))
+        x, y = x[by], y[by]
+        first = np.concatenate(([True], (x[1:] != x[:-1]) | (part[y[1:]] != part[y[:-1]])))
+        p, q = x[first], y[first]
+    return np.stack((ids[order[p]], ids[order[q]]))
+
+
+def _candidates(members: DataFrame, near: int, best: bool) -> DataFrame:
+    """(a, b) classes of ``members`` (gid, f1, c, n_shingles, sketch) that are close by their sketches.
+
+    A group of more than ``BLOCK`` members is dealt to a task for each two of its blocks.
+    """
+
+    def run(batches):
+        now, rows = None, []
+
+        def done():
+            ids, n, part, block, sketches = zip(*rows)
+            got = _close(np.array(ids), np.array(n), np.unique(np.array(part), return_inverse=True)[1], np.array(block), list(sketches), near, best)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(got[0], got[1])), pa.array(np.maximum(got[0], got[1]))], names=["a", "b"])
+
+        for batch in batches:
+            for gid, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
+                if (gid, lo, hi) != now and rows:
+                    yield done()
+                    rows = []
+                now = (gid, lo, hi)
+                rows.append(row)
+        if rows:
+            yield done()
+
+    blocks = members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "gid").withColumn("block", F.pmod(F.hash("f1"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "f1", "n_shingles", "c", "block", "sketch")
+    return dealt.repartition("gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable by links) for every row of ``docs``.
+
+    Groups of more than ``large`` members are split by further pieces before they are held against each other.
+    """
     rows = materialize(sets(docs, k), "sets")
     filled = rows.where(F.col("n_shingles") > 0)
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("rep")
@@ -372,39 +469,60 @@ def link(docs: DataFrame, k: int = 5, near: int = 75) -> DataFrame:
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(64, total * 2 // 3 // BUCKET)
 
-    def check(pairs: DataFrame, done: list[DataFrame]) -> DataFrame:
-        pairs = _possible(pairs.distinct(), classes, near)
+    found = materialize(met(keyed(docs, k, near, n_buckets)), "met")
+    pairs = materialize(_possible(found.where(F.col("gid").isNull()).select("a", "b").distinct(), classes, near), "pairs")
+    groups = materialize(found.where(F.col("gid").isNotNull()).select(F.col("a").alias("f1"), "gid").distinct(), "groups")
+    # All texts that any later step can ask for.
+    named = groups.select("f1").distinct().join(classes, "f1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
+    for side in ("a", "b"):
+        named = named.union(pairs.select(f"{side}_doc_id", f"{side}_text_hash"))
+    texts = materialize(_texts_of(docs, named.where(F.col("id").isNotNull()).distinct()), "texts")
+    done = [pairs.select("a_doc_id", "b_doc_id")]
+    links = materialize(verified(pairs, texts, k, near), "links")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = _possible(pairs, classes, near)
         for d in done:
             pairs = pairs.join(d, ["a_doc_id", "b_doc_id"], "left_anti")
         pairs = materialize(pairs, "pairs")
         done.append(pairs.select("a_doc_id", "b_doc_id"))
-        return materialize(verified(pairs, docs, k, near), "links")
+        return links.union(materialize(verified(pairs, texts, k, near), "links"))
 
-    done: list[DataFrame] = []
-    found = materialize(met(keyed(docs, k, near, n_buckets)), "met")
-    links = check(found.where(F.col("gid").isNull()).select("a", "b"), done)
-    groups = found.where(F.col("gid").isNotNull()).select(F.col("a").alias("f1"), "gid").distinct()
-    split = None
+    # Very large groups that span components are split by a further piece, until they are smaller or all alike.
+    small, gone = [], None
     while groups.take(1):
         still = _placed(groups, classes, links)
-        if split is not None:
-            still = still.join(split, "gid", "left_anti")
+        sized = still.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
+        small.append(still.join(sized.where(F.col("n") <= large), "gid").select("gid", "f1"))
+        still = materialize(still.join(sized.where(F.col("n") > large), "gid").select("gid", "f1", "c"), "large")
         if not still.take(1):
             break
-        parts = materialize(_split(still.select("f1", "gid"), classes, docs, k, near, n_buckets), "parts")
+        parts = materialize(_split(still.select("f1", "gid"), classes, texts, k, near, n_buckets), "parts")
         found = materialize(met(parts.where(F.col("bucket").isNotNull()).select("bucket", "keys", "member", "ids")), "met")
         # Where all members share as many pieces as partners need to, a further piece need not tell partners apart.
         needs = parts.where(F.col("gid").isNotNull()).groupBy("gid").agg(F.min("need").alias("need"))
         shared = found.where(F.col("gid").isNotNull()).groupBy("gid", "a").agg(F.sum("b").alias("n")).groupBy("gid").agg(F.max("n").alias("n"))
         alike = needs.join(shared, "gid", "left").where(F.coalesce("n", F.lit(0)) >= F.col("need")).select("gid")
-        core = still.join(alike, "gid")
-        one = core.select("gid", F.col("f1").alias("x"), F.col("c").alias("cx"))
-        two = core.select("gid", F.col("f1").alias("y"), F.col("c").alias("cy"))
-        rest = one.join(two, "gid").where((F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        links = links.union(check(found.where(F.col("gid").isNull()).select("a", "b").union(rest), done))
-        gone = still.select("gid").distinct()
-        split = gone if split is None else split.union(gone)
-        groups = found.where(F.col("gid").isNotNull()).select(F.col("a").alias("f1"), "gid").distinct().join(split, "gid", "left_anti")
+        small.append(still.join(alike, "gid").select("gid", "f1"))
+        links = check(found.where(F.col("gid").isNull()).select("a", "b").distinct())
+        seen = still.select("gid").distinct()
+        gone = seen if gone is None else gone.union(seen)
+        groups = found.where(F.col("gid").isNotNull()).select(F.col("a").alias("f1"), "gid").distinct().join(gone, "gid", "left_anti")
+
+    if small:
+        groups = small[0]
+        for s in small[1:]:
+            groups = groups.union(s)
+        groups = materialize(groups.distinct(), "small")
+        wanted = groups.select("f1").distinct().join(classes, "f1").select(F.col("f1").alias("w1"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
+        sketched = rows.join(wanted, (rows["doc_id"] == wanted["id"]) & (rows["text_hash"] == wanted["h"])).select("f1", "n_shingles", "sketch").dropDuplicates(["f1"])
+        sketched = materialize(sketched, "sketches")
+        # The nearest partners first: they join most members, which leaves few pairs across components.
+        for best in (True, False):
+            still = _placed(groups, classes, links)
+            if not still.take(1):
+                break
+            links = check(_candidates(still.join(sketched, "f1"), near, best))
 
     joined = components(links, "a", "b")
     where = classes.join(joined, F.col("doc_id") == F.col("node"), "left")
