@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftgraph.llm import decontaminate, mixing, ngram_join, quality_rules, token_codes, url_filter
+from weftgraph.llm import decontaminate, mixing, ngram_join, quality_classifier, quality_rules, token_codes, url_filter
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,9 @@ QUERIES["pipeline"] = corpus_pipeline.run
 @register("op1_url_filter")
 def op1_url_filter(spark, sf):
     return url_filter.judged(table(spark, sf, "pages"))
+
+
+@register("op6_quality_classifier")
+def op6_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf, "labels")))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes hashed in one pass; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _RANDOM = np.random.default_rng(20240917)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
