@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftgraph.llm import decontaminate, mixing, ngram_join, quality_classifier, quality_rules, token_codes, url_filter
+from weftgraph.llm import decontaminate, mixing, ngram_join, quality_classifier, quality_rules, token_codes, token_count, url_filter
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,8 @@ def op1_url_filter(spark, sf):
 def op6_quality_classifier(spark, sf):
     docs = table(spark, sf, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf, "labels")))
+
+
+@register("op2_token_count")
+def op2_token_count(spark, sf):
+    return token_count.counted(table(spark, sf, "documents"))
