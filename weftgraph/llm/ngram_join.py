@@ -54,11 +54,13 @@ from weftgraph.llm.words import mixed, shingle_sets
 from weftgraph.session import materialize
 
 #: Groups of at most so many classes give all pairs.
-SMALL = 16
+SMALL = 3
 #: Members per task when one document is verified against many.
 CHUNK = 256
 #: Keys packed together by one map task, and expected keys per bucket.
 FLUSH, BUCKET = 1_000_000, 1_500_000
+#: Ids (16 bytes each) up to which a list is broadcast.
+LISTED = 250_000
 #: Members above which a group is split by further pieces, members compared in one task, and bits of the widest dense sketch.
 LARGE, BLOCK, WIDEST = 20_000, 4096, 16_384
 _U = np.uint64
@@ -290,20 +292,44 @@ def met(packed: DataFrame) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET)
 
 
+def _listed(ids: DataFrame) -> DataFrame:
+    """A small list of ids is broadcast, which saves the shuffle of what it is joined to; a longer one is not."""
+    return F.broadcast(ids) if ids.limit(LISTED + 1).count() <= LISTED else ids
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, near: int) -> DataFrame:
-    """Pairs of ids as pairs of documents, without those that size or dense sketch rule out."""
+    """Pairs of ids as pairs of documents, without those that size or the 256-bit folds rule out."""
     side = lambda p: classes.select(F.col("f1").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "text_hash", "n_shingles", "s0", "s1", "s2", "s3")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
     apart = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(4)), F.lit(0))
-    fits = (100 * small >= near * large) & (apart * (100 + near) <= (100 - near) * (F.col("a_n_shingles") + F.col("b_n_shingles")))
-    return both.where(fits & F.col("a_doc_id").isNotNull() & F.col("b_doc_id").isNotNull()).select("a_doc_id", "a_text_hash", "b_doc_id", "b_text_hash")
+    most = (100 - near) * (F.col("a_n_shingles") + F.col("b_n_shingles"))
+    fits = (100 * small >= near * large) & (apart * (100 + near) <= most)
+    both = both.where(fits & F.col("a_doc_id").isNotNull() & F.col("b_doc_id").isNotNull())
+    return both.select("a_doc_id", "a_text_hash", "b_doc_id", "b_text_hash", most.alias("most"))
+
+
+def _fine(both: DataFrame, sketches: DataFrame, near: int) -> DataFrame:
+    """Those of the possible pairs that the whole sketches leave."""
+
+    def run(batches):
+        for batch in batches:
+            fits = []
+            for x, y, most in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6))):
+                w = min(len(x), len(y)) // 8
+                fits.append(int(np.bitwise_count(_folded(x, w) ^ _folded(y, w)).sum()) * (100 + near) <= most)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(fits, pa.bool_()))
+
+    wide = lambda p: sketches.select(F.col("doc_id").alias(f"{p}_doc_id"), F.col("text_hash").alias(f"{p}_text_hash"), F.col("sketch").alias(f"{p}_sketch"))
+    keys = lambda p: [f"{p}_doc_id", f"{p}_text_hash"]
+    both = both.join(wide("a"), keys("a")).join(wide("b"), keys("b"))
+    return both.select(*keys("a"), *keys("b"), "a_sketch", "b_sketch", "most").mapInArrow(run, "a_doc_id bigint, a_text_hash bigint, b_doc_id bigint, b_text_hash bigint")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, h, t): the texts of the documents that ``wanted`` names by id and text hash, once each."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
-    return texts.join(wanted, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    return texts.join(_listed(wanted), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, near: int) -> DataFrame:
@@ -472,11 +498,19 @@ def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> Dat
     found = materialize(met(keyed(docs, k, near, n_buckets)), "met")
     pairs = materialize(_possible(found.where(F.col("gid").isNull()).select("a", "b").distinct(), classes, near), "pairs")
     groups = materialize(found.where(F.col("gid").isNotNull()).select(F.col("a").alias("f1"), "gid").distinct(), "groups")
-    # All texts that any later step can ask for.
-    named = groups.select("f1").distinct().join(classes, "f1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
-    for side in ("a", "b"):
-        named = named.union(pairs.select(f"{side}_doc_id", f"{side}_text_hash"))
-    texts = materialize(_texts_of(docs, named.where(F.col("id").isNotNull()).distinct()), "texts")
+    # Sketches and texts that any later step can ask for.
+    members = groups.select("f1").distinct().join(classes, "f1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
+
+    def named(pairs: DataFrame) -> DataFrame:
+        ids = members
+        for side in ("a", "b"):
+            ids = ids.union(pairs.select(f"{side}_doc_id", f"{side}_text_hash"))
+        return materialize(ids.where(F.col("id").isNotNull()).distinct(), "named")
+
+    sketches = filled.join(_listed(named(pairs).toDF("doc_id", "text_hash")), ["doc_id", "text_hash"], "left_semi")
+    sketches = materialize(sketches.select("doc_id", "text_hash", "f1", "n_shingles", "sketch").dropDuplicates(["doc_id", "text_hash"]), "sketches")
+    pairs = materialize(_fine(pairs, sketches, near), "pairs")
+    texts = materialize(_texts_of(docs, named(pairs)), "texts")
     done = [pairs.select("a_doc_id", "b_doc_id")]
     links = materialize(verified(pairs, texts, k, near), "links")
 
@@ -484,7 +518,7 @@ def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> Dat
         pairs = _possible(pairs, classes, near)
         for d in done:
             pairs = pairs.join(d, ["a_doc_id", "b_doc_id"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(_fine(pairs, sketches, near), "pairs")
         done.append(pairs.select("a_doc_id", "b_doc_id"))
         return links.union(materialize(verified(pairs, texts, k, near), "links"))
 
@@ -514,15 +548,12 @@ def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> Dat
         for s in small[1:]:
             groups = groups.union(s)
         groups = materialize(groups.distinct(), "small")
-        wanted = groups.select("f1").distinct().join(classes, "f1").select(F.col("f1").alias("w1"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
-        sketched = rows.join(wanted, (rows["doc_id"] == wanted["id"]) & (rows["text_hash"] == wanted["h"])).select("f1", "n_shingles", "sketch").dropDuplicates(["f1"])
-        sketched = materialize(sketched, "sketches")
         # The nearest partners first: they join most members, which leaves few pairs across components.
         for best in (True, False):
             still = _placed(groups, classes, links)
             if not still.take(1):
                 break
-            links = check(_candidates(still.join(sketched, "f1"), near, best))
+            links = check(_candidates(still.join(sketches.dropDuplicates(["f1"]), "f1"), near, best))
 
     joined = components(links, "a", "b")
     where = classes.join(joined, F.col("doc_id") == F.col("node"), "left")
