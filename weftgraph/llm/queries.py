@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftgraph.llm import decontaminate, mixing, ngram_join, quality_classifier, quality_rules, token_codes, token_count, url_filter
+from weftgraph.llm import decontaminate, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, token_codes, token_count, url_filter
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,8 @@ def op6_quality_classifier(spark, sf):
 @register("op2_token_count")
 def op2_token_count(spark, sf):
     return token_count.counted(table(spark, sf, "documents"))
+
+
+@register("op3_line_dedup", line_dedup.SQL)
+def op3_line_dedup(spark, sf):
+    return line_dedup.deduped(table(spark, sf, "pages"))
