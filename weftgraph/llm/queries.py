@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftgraph.llm import decontaminate, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, token_codes, token_count, url_filter
+from weftgraph.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, token_codes, token_count, url_filter
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,9 @@ def op2_token_count(spark, sf):
 @register("op3_line_dedup", line_dedup.SQL)
 def op3_line_dedup(spark, sf):
     return line_dedup.deduped(table(spark, sf, "pages"))
+
+
+@register("op7_license_scan")
+def op7_license_scan(spark, sf):
+    docs = table(spark, sf, "documents")
+    return license_scan.scanned(docs, license_scan.train(docs))
