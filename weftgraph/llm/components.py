@@ -45,7 +45,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     current, mark = _written(start)
     while mark[0]:
         # All edges lead from a larger node to a smaller one.
-        following, new = _written(_star(_star(current, large=True).distinct(), large=False))
+        following, new = _written(_star(_star(current, large=True), large=False))
         current, same, mark = following, new == mark, new
         if same:
             break

@@ -59,7 +59,7 @@ TEMPLATES = {
 FAMILIES = [*TEMPLATES, "unknown"]
 UNKNOWN = len(FAMILIES) - 1
 #: Least probability, least share of a template's word pairs, words of a window.
-SURE, CONFIRMED, WINDOW = 0.8, 0.6, 48
+SURE, CONFIRMED, WINDOW = 0.8, 0.6, 24
 #: Hash space of n-grams, variants per family, corpus paragraphs and bytes of each for the unknown class.
 SPACE_BITS, VARIANTS, SAMPLE, SAMPLE_BYTES = 17, 240, 3000, 600
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-6
@@ -222,7 +222,8 @@ class Scanner:
         p = model.probabilities(total[z] - total[a], counts[z] - counts[a])
         best = p.argmax(axis=1)
         for i in np.flatnonzero((best != UNKNOWN) & (p.max(axis=1) >= SURE)).tolist():
-            family, part = FAMILIES[best[i]], h[a[i] : z[i]]
+            lo, hi = max(0, a[i] - WINDOW), z[i] + WINDOW  # a notice may reach beyond the window
+            family, part = FAMILIES[best[i]], h[lo:hi][line[lo:hi] == line[a[i]]]
             pairs = set((part[:-1] * _PLACE[0] + part[1:] * _PLACE[1]).tolist()) if len(part) > 1 else set(part.tolist())
             share = max(_share(t, pairs) for t in self.templates[family])
             if share >= CONFIRMED:

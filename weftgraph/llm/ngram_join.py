@@ -25,8 +25,8 @@ distance of a dense 256-bit parity sketch, then compared shingle by shingle.
 member only.  When these are verified and joined into components, a large group
 whose members are in one component is settled.  In the others, members of
 different components are held against each other by sketch, and only pairs
-within the Hamming bound are verified: first each member's nearest partner in
-every other component, then what still spans components.  Groups of more than
+within the Hamming bound are verified: first each member's nearest partners in
+other components, then what still spans components.  Groups of more than
 ``LARGE`` are split before by a second, third, ... piece (partners share more
 than one).  So no group is paired in full because it is large, members of one
 component are not paired at all, and no link between components is lost.
@@ -63,6 +63,8 @@ FLUSH, BUCKET = 1_000_000, 1_500_000
 LISTED = 250_000
 #: Members above which a group is split by further pieces, members compared in one task, and bits of the widest dense sketch.
 LARGE, BLOCK, WIDEST = 20_000, 4096, 16_384
+#: Components that a member is first tried to join.
+NEAREST = 4
 _U = np.uint64
 _M40 = _U((1 << 40) - 1)
 
@@ -397,21 +399,20 @@ def _split(open_groups: DataFrame, classes: DataFrame, texts: DataFrame, k: int,
     return reps.join(texts, ["id", "h"]).select("gids", "f1", binary_of(F.col("t"))).mapInArrow(run, _PARTS)
 
 
-def _placed(groups: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+def _placed(groups: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
     """(f1, gid, c): members of the groups that span several components, with their component."""
-    joined = materialize(components(links, "a", "b"), "joined")
     where = classes.join(joined, F.col("doc_id") == F.col("node"), "left").select("f1", F.coalesce("component", "doc_id").alias("c")).where(F.col("c").isNotNull())
     placed = materialize(groups.join(where, "f1").distinct(), "placed")
     several = placed.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("gid")
-    return materialize(placed.join(several, "gid"), "open")
+    return placed.join(several, "gid")
 
 
-def _close(ids: np.ndarray, n: np.ndarray, part: np.ndarray, block: np.ndarray, sketches: list[bytes], near: int, best: bool) -> np.ndarray:
-    """Pairs of members from different components that size and Hamming distance allow; shape (2, pairs).
+def _close(n: np.ndarray, part: np.ndarray, block: np.ndarray, sketches: list[bytes], near: int, best: bool) -> np.ndarray:
+    """Places of pairs of members from different components that size and Hamming distance allow; shape (2, pairs).
 
     Members are held against those up to 1/t larger, first by the folds of
-    their sketches, then by the sketches.  ``best`` keeps the nearest partner of
-    a member in every other component.
+    their sketches, then by the sketches.  ``best`` keeps a member's nearest
+    partner in each of the ``NEAREST`` nearest other components.
     """
     order = np.argsort(n, kind="stable")
     n, part, block = n[order], part[order], block[order]
@@ -447,8 +448,13 @@ def _close(ids: np.ndarray, n: np.ndarray, part: np.ndarray, block: np.ndarray,
         by = np.lexsort((y, d, part[y], x))
         x, y = x[by], y[by]
         first = np.concatenate(([True], (x[1:] != x[:-1]) | (part[y[1:]] != part[y[:-1]])))
-        p, q = x[first], y[first]
-    return np.stack((ids[order[p]], ids[order[q]]))
+        x, y, d = x[first], y[first], d[by][first]
+        by = np.lexsort((d, x))
+        x, y = x[by], y[by]
+        begin = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        rank = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
+        p, q = x[rank < NEAREST], y[rank < NEAREST]
+    return np.stack((order[p], order[q]))
 
 
 def _candidates(members: DataFrame, near: int, best: bool) -> DataFrame:
@@ -461,12 +467,17 @@ def _candidates(members: DataFrame, near: int, best: bool) -> DataFrame:
         now, rows = None, []
 
         def done():
-            ids, n, part, block, sketches = zip(*rows)
-            got = _close(np.array(ids), np.array(n), np.unique(np.array(part), return_inverse=True)[1], np.array(block), list(sketches), near, best)
+            ids, n, part, block, sketches, gids = zip(*rows)
+            at = _close(np.array(n), np.unique(np.array(part), return_inverse=True)[1], np.array(block), list(sketches), near, best)
+            if not best:
+                # Pairs that meet in many groups come from the first of them.
+                sets = [frozenset(g) for g in gids]
+                at = at[:, [min(sets[x] & sets[y]) == now[0] for x, y in at.T.tolist()]]
+            got = np.array(ids)[at]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(got[0], got[1])), pa.array(np.maximum(got[0], got[1]))], names=["a", "b"])
 
         for batch in batches:
-            for gid, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
+            for gid, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in range(9))):
                 if (gid, lo, hi) != now and rows:
                     yield done()
                     rows = []
@@ -475,10 +486,12 @@ def _candidates(members: DataFrame, near: int, best: bool) -> DataFrame:
         if rows:
             yield done()
 
+    every = members.groupBy("f1").agg(F.collect_set("gid").alias("gids"))
+    members = members.join(every, "f1")
     blocks = members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks, "gid").withColumn("block", F.pmod(F.hash("f1"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "f1", "n_shingles", "c", "block", "sketch")
+    dealt = dealt.select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "f1", "n_shingles", "c", "block", "sketch", "gids")
     return dealt.repartition("gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -512,50 +525,56 @@ def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> Dat
     pairs = materialize(_fine(pairs, sketches, near), "pairs")
     texts = materialize(_texts_of(docs, named(pairs)), "texts")
     done = [pairs.select("a_doc_id", "b_doc_id")]
-    links = materialize(verified(pairs, texts, k, near), "links")
 
-    def check(pairs: DataFrame) -> DataFrame:
+    def merged(joined: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Components after the links among further pairs."""
         pairs = _possible(pairs, classes, near)
         for d in done:
             pairs = pairs.join(d, ["a_doc_id", "b_doc_id"], "left_anti")
         pairs = materialize(_fine(pairs, sketches, near), "pairs")
         done.append(pairs.select("a_doc_id", "b_doc_id"))
-        return links.union(materialize(verified(pairs, texts, k, near), "links"))
+        return materialize(components(joined.toDF("a", "b").union(verified(pairs, texts, k, near)), "a", "b"), "joined")
 
+    joined = materialize(components(verified(pairs, texts, k, near), "a", "b"), "joined")
     # Very large groups that span components are split by a further piece, until they are smaller or all alike.
-    small, gone = [], None
-    while groups.take(1):
-        still = _placed(groups, classes, links)
-        sized = still.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
-        small.append(still.join(sized.where(F.col("n") <= large), "gid").select("gid", "f1"))
-        still = materialize(still.join(sized.where(F.col("n") > large), "gid").select("gid", "f1", "c"), "large")
-        if not still.take(1):
+    gone = None
+    still = materialize(_placed(groups, classes, joined), "open")
+    while True:
+        sized = still.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("gid")
+        big = still.join(sized, "gid").select("gid", "f1", "c")
+        if gone is not None:
+            big = big.join(gone, "gid", "left_anti")
+        big = materialize(big, "large")
+        if not big.take(1):
             break
-        parts = materialize(_split(still.select("f1", "gid"), classes, texts, k, near, n_buckets), "parts")
+        parts = materialize(_split(big.select("f1", "gid"), classes, texts, k, near, n_buckets), "parts")
         found = materialize(met(parts.where(F.col("bucket").isNotNull()).select("bucket", "keys", "member", "ids")), "met")
         # Where all members share as many pieces as partners need to, a further piece need not tell partners apart.
         needs = parts.where(F.col("gid").isNotNull()).groupBy("gid").agg(F.min("need").alias("need"))
         shared = found.where(F.col("gid").isNotNull()).groupBy("gid", "a").agg(F.sum("b").alias("n")).groupBy("gid").agg(F.max("n").alias("n"))
         alike = needs.join(shared, "gid", "left").where(F.coalesce("n", F.lit(0)) >= F.col("need")).select("gid")
-        small.append(still.join(alike, "gid").select("gid", "f1"))
-        links = check(found.where(F.col("gid").isNull()).select("a", "b").distinct())
-        seen = still.select("gid").distinct()
+        joined = merged(joined, found.where(F.col("gid").isNull()).select("a", "b").distinct())
+        seen = big.select("gid").distinct()
         gone = seen if gone is None else gone.union(seen)
-        groups = found.where(F.col("gid").isNotNull()).select(F.col("a").alias("f1"), "gid").distinct().join(gone, "gid", "left_anti")
-
-    if small:
-        groups = small[0]
-        for s in small[1:]:
-            groups = groups.union(s)
-        groups = materialize(groups.distinct(), "small")
-        # The nearest partners first: they join most members, which leaves few pairs across components.
-        for best in (True, False):
-            still = _placed(groups, classes, links)
-            if not still.take(1):
-                break
-            links = check(_candidates(still.join(sketches.dropDuplicates(["f1"]), "f1"), near, best))
-
-    joined = components(links, "a", "b")
+        # Groups that stay: the smaller ones, those whose members are all alike, and the new ones.
+        apart = seen.join(alike, "gid", "left_anti")
+        fresh = found.where(F.col("gid").isNotNull()).select(F.col("a").alias("f1"), "gid").distinct().join(gone, "gid", "left_anti")
+        groups = still.select("f1", "gid").join(apart, "gid", "left_anti").select("f1", "gid").union(fresh)
+        still = materialize(_placed(groups, classes, joined), "open")
+
+    # The nearest partners first, in a member's largest group: they join most members, which leaves few pairs across components.
+    for best in (True, False):
+        if not still.take(1):
+            break
+        members = still
+        if best:
+            sized = still.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
+            own = still.join(sized, "gid").groupBy("f1", "c").agg(F.max(F.struct("n", "gid"))["gid"].alias("gid"))
+            members = own.select("gid", "f1", "c")
+        joined = merged(joined, _candidates(members.join(sketches.dropDuplicates(["f1"]), "f1"), near, best))
+        if best:
+            still = materialize(_placed(still.select("f1", "gid"), classes, joined), "open")
+
     where = classes.join(joined, F.col("doc_id") == F.col("node"), "left")
     where = where.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("gn"), F.coalesce("component", "doc_id").alias("component_id"))
     out = rows.join(where, (rows["f1"] == where["g1"]) & (rows["f2"] == where["g2"]) & (rows["n_shingles"] == where["gn"]), "left")
