@@ -805,10 +805,11 @@ _POST = "'POST /customers/' || c_custkey"
         _TS_PATH,
         "customer",
         [
-            ("class", _CUSTOMER, _CUSTOMER, 4, 9, f"'class ' || {_CUSTOMER} || ' extends Base'"),
+            ("class", _CUSTOMER, _CUSTOMER, 4, 14, f"'class ' || {_CUSTOMER} || ' extends Base'"),
             ("method", "'pay'", f"{_CUSTOMER} || '.pay'", 5, 5, "'pay(x: number): number'"),
-            ("method", "'check'", f"{_CUSTOMER} || '.check'", 6, 8, "'check(x)'"),
-            ("endpoint", _POST, _POST, 10, 12, "'router.post(\"/customers/' || c_custkey || '\", (req) =>'"),
+            ("method", "'check'", f"{_CUSTOMER} || '.check'", 6, 12, "'check(x)'"),
+            ("method", "'''quoted'''", f"{_CUSTOMER} || '.''quoted'''", 13, 13, "'''quoted''()'"),
+            ("endpoint", _POST, _POST, 15, 17, "'router.post(\"/customers/' || c_custkey || '\", (req) =>'"),
         ],
     )
     + " UNION ALL "
@@ -832,9 +833,14 @@ def extract_ts_symbols(spark, sf):
             ("''", "import", "'fs'", "''", "''", 2),
             (_CUSTOMER, "implements", "'Base'", "''", "''", 4),
             (f"{_CUSTOMER} || '.pay'", "call", "'check'", "''", "''", 5),
-            (f"{_CUSTOMER} || '.check'", "call", "'audit'", "''", "''", 7),
-            (_POST, "call", "'post'", "''", "''", 10),
-            (_POST, "call", "'pay'", "''", "''", 11),
+            (f"{_CUSTOMER} || '.check'", "call", "'request'", "''", "''", 9),
+            (f"{_CUSTOMER} || '.check'", "call", "'f'", "''", "''", 9),
+            (f"{_CUSTOMER} || '.check'", "call", "'g'", "''", "''", 9),
+            (f"{_CUSTOMER} || '.check'", "call", "'save'", "''", "''", 10),
+            (f"{_CUSTOMER} || '.check'", "call", "'audit'", "''", "''", 11),
+            (f"{_CUSTOMER} || '.''quoted'''", "call", "'q'", "''", "''", 13),
+            (_POST, "call", "'post'", "''", "''", 15),
+            (_POST, "call", "'pay'", "''", "''", 16),
         ],
     ),
 )
@@ -863,9 +869,9 @@ _GET = "'GET api/S' || s_suppkey || '/{id}'"
         _CS_PATH,
         "supplier",
         [
-            ("class", _CONTROLLER, _CONTROLLER, 6, 17, f"'[Route(\"api/[controller]\")] public class ' || {_CONTROLLER} || ' : IBase'"),
-            ("method", "'Get'", f"{_CONTROLLER} || '.Get'", 11, 16, "'[HttpGet(\"'"),
-            ("endpoint", _GET, _GET, 11, 16, "'[HttpGet(\"'"),
+            ("class", _CONTROLLER, _CONTROLLER, 6, 19, f"'[Route(\"api/[controller]\")] public class ' || {_CONTROLLER} || ' : IBase'"),
+            ("method", "'Get'", f"{_CONTROLLER} || '.Get'", 11, 18, "'[HttpGet(\"'"),
+            ("endpoint", _GET, _GET, 11, 18, "'[HttpGet(\"'"),
         ],
     ),
 )
@@ -883,7 +889,12 @@ def extract_cs_symbols(spark, sf):
             (_CONTROLLER, "implements", "'IBase'", "''", "''", 6),
             (f"{_CONTROLLER} || '.Get'", "create", "'Money'", "''", "''", 13),
             (f"{_CONTROLLER} || '.Get'", "call", "'Round'", "'Money'", "''", 14),
-            (f"{_CONTROLLER} || '.Get'", "call", "'Load'", "'Nation' || s_nationkey", "''", 15),
+            (f"{_CONTROLLER} || '.Get'", "create", "'Price'", "''", "''", 15),
+            (f"{_CONTROLLER} || '.Get'", "call", "'Cut'", "'Price'", "''", 15),
+            (f"{_CONTROLLER} || '.Get'", "call", "'Log'", "''", "''", 16),
+            (f"{_CONTROLLER} || '.Get'", "call", "'Fmt'", "''", "''", 16),
+            (f"{_CONTROLLER} || '.Get'", "call", "'X'", "''", "''", 16),
+            (f"{_CONTROLLER} || '.Get'", "call", "'Load'", "'Nation' || s_nationkey", "''", 17),
             (_GET, "call", f"{_CONTROLLER} || '.Get'", "''", "''", 11),
         ],
     ),
@@ -903,11 +914,11 @@ _PUT = "'PUT /orders/' || o_orderkey"
         _PY_PATH,
         "orders",
         [
-            ("class", _ORDER, _ORDER, 4, 15, f"'class ' || {_ORDER} || '(Order)'"),
+            ("class", _ORDER, _ORDER, 4, 18, f"'class ' || {_ORDER} || '(Order)'"),
             ("method", "'__init__'", f"{_ORDER} || '.__init__'", 5, 6, "'def __init__(self, key=' || o_orderkey || ')'"),
-            ("method", "'ship'", f"{_ORDER} || '.ship'", 8, 13, "'def ship(self)'"),
-            ("endpoint", _PUT, _PUT, 8, 13, "'def ship(self)'"),
-            ("method", "'check'", f"{_ORDER} || '.check'", 15, 15, "'def check(self)'"),
+            ("method", "'ship'", f"{_ORDER} || '.ship'", 8, 16, "'def ship(self)'"),
+            ("endpoint", _PUT, _PUT, 8, 16, "'def ship(self)'"),
+            ("method", "'check'", f"{_ORDER} || '.check'", 18, 18, "'def check(self)'"),
         ],
     ),
 )
@@ -929,7 +940,8 @@ def extract_py_symbols(spark, sf):
             (f"{_ORDER} || '.ship'", "call", "'check'", _ORDER, "''", 12),
             (f"{_ORDER} || '.ship'", "call", "'send'", "''", "'helper'", 12),
             (f"{_ORDER} || '.ship'", "call", "'label'", "''", "''", 12),
-            (f"{_ORDER} || '.ship'", "call", "'Customer' || o_custkey", "''", "''", 13),
+            (f"{_ORDER} || '.ship'", "call", "'fits'", "''", "''", 15),
+            (f"{_ORDER} || '.ship'", "call", "'Customer' || o_custkey", "''", "''", 16),
             (_PUT, "call", f"{_ORDER} || '.ship'", "''", "''", 8),
         ],
     ),
@@ -945,6 +957,7 @@ def extract_py_module_vars(spark, sf):
 
 _GO_ID = f"'symbol::' || {_GO_PATH} || '::Part' || p_partkey"
 _TS_ID = f"'symbol::' || {_TS_PATH} || '::'"
+_PY_ID = f"'symbol::' || {_PY_PATH} || '::'"
 _CS_ID = f"'symbol::' || {_CS_PATH} || '::'"
 
 
@@ -963,6 +976,7 @@ _CS_ID = f"'symbol::' || {_CS_PATH} || '::'"
         f"'file::' || {_TS_PATH}, {_TS_ID} || {_CUSTOMER}, 'defines'",
         f"'file::' || {_TS_PATH}, {_TS_ID} || {_CUSTOMER} || '.pay', 'defines'",
         f"'file::' || {_TS_PATH}, {_TS_ID} || {_CUSTOMER} || '.check', 'defines'",
+        f"'file::' || {_TS_PATH}, {_TS_ID} || {_CUSTOMER} || '.''quoted''', 'defines'",
         f"'file::' || {_TS_PATH}, {_TS_ID} || {_POST}, 'defines'",
         f"'file::' || {_TS_PATH}, 'file::nations/n' || c_nationkey || '.js', 'imports'",
         f"{_TS_ID} || {_CUSTOMER} || '.pay', {_TS_ID} || {_CUSTOMER} || '.check', 'calls'",
@@ -977,6 +991,18 @@ _CS_ID = f"'symbol::' || {_CS_PATH} || '::'"
         f"'file::' || {_CS_PATH}, {_CS_ID} || {_CONTROLLER} || '.Get', 'defines'",
         f"'file::' || {_CS_PATH}, {_CS_ID} || {_GET}, 'defines'",
         f"{_CS_ID} || {_GET}, {_CS_ID} || {_CONTROLLER} || '.Get', 'calls'",
+    )
+    + " UNION ALL "
+    + _rows_sql(
+        "orders",
+        f"'file::' || {_PY_PATH}, {_PY_ID} || {_ORDER}, 'defines'",
+        f"'file::' || {_PY_PATH}, {_PY_ID} || {_ORDER} || '.__init__', 'defines'",
+        f"'file::' || {_PY_PATH}, {_PY_ID} || {_ORDER} || '.ship', 'defines'",
+        f"'file::' || {_PY_PATH}, {_PY_ID} || {_ORDER} || '.check', 'defines'",
+        f"'file::' || {_PY_PATH}, {_PY_ID} || {_PUT}, 'defines'",
+        f"{_PY_ID} || {_PUT}, {_PY_ID} || {_ORDER} || '.ship', 'calls'",
+        f"{_PY_ID} || {_ORDER} || '.ship', {_PY_ID} || {_ORDER} || '.check', 'calls'",
+        f"{_PY_ID} || {_ORDER} || '.ship', 'symbol::web/c' || o_custkey || '.ts::Customer' || o_custkey, 'calls'",
     ),
 )
 def analyze_edges(spark, sf):
@@ -986,9 +1012,10 @@ def analyze_edges(spark, sf):
 @register(
     "analyze_node_kinds",
     """SELECT 'go' AS language, unnest(['file', 'type', 'method']) AS kind, unnest([n, n, 2 * n]) AS n FROM (SELECT count(*) AS n FROM part)
-    UNION ALL SELECT 'typescript', unnest(['file', 'class', 'method', 'endpoint', 'function']), unnest([n + m, n, 2 * n, n, m])
+    UNION ALL SELECT 'typescript', unnest(['file', 'class', 'method', 'endpoint', 'function']), unnest([n + m, n, 3 * n, n, m])
       FROM (SELECT count(*) AS n FROM customer), (SELECT count(*) AS m FROM nation)
-    UNION ALL SELECT 'csharp', unnest(['file', 'class', 'method', 'endpoint']), unnest([n, n, n, n]) FROM (SELECT count(*) AS n FROM supplier)""",
+    UNION ALL SELECT 'csharp', unnest(['file', 'class', 'method', 'endpoint']), unnest([n, n, n, n]) FROM (SELECT count(*) AS n FROM supplier)
+    UNION ALL SELECT 'python', unnest(['file', 'class', 'method', 'endpoint']), unnest([n, n, 3 * n, n]) FROM (SELECT count(*) AS n FROM orders)""",
 )
 def analyze_node_kinds(spark, sf):
     nodes = analyze_files(code.all_files(spark, sf)).nodes
