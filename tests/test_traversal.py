@@ -72,7 +72,7 @@ def test_order_of_one_result(spark, graph):
 
 
 def test_long_chain_keeps_queue_order(spark):
-    """Longer than the trail that is kept before positions are renumbered."""
+    """Positions are renumbered at every level."""
     n = 20
     rows = [(f"a{i}", f"a{i+1}", "calls") for i in range(n)] + [(f"a{i}", f"b{i+1}", "imports") for i in range(n)]
     # Both chains reach the same nodes; the a side comes first in the queue.
@@ -195,15 +195,13 @@ def test_small_service_graph(spark):
 
 
 def test_same_results_without_broadcasts(spark, graph):
-    """What a large frontier or index does: shuffled joins, no id filter in the scan."""
+    """What a large frontier or index does: shuffled joins."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    pushed, traverse.PUSHED_IDS = traverse.PUSHED_IDS, -1
     try:
         rows = traverse.impact(*graph, roots_frame(spark)).collect()
         got = {(r["root"], r["id"]): (r["distance"], r["via"]) for r in rows}
         found = paths.flow_paths(graph[1], ROOTS[0], 3).orderBy(*paths.path_order()).collect()
     finally:
-        traverse.PUSHED_IDS = pushed
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {(root, i): v for root in ROOTS for i, v in walk(root, False, 0).items()}
     assert [[(s["id"], s["via"]) for s in r["steps"]] for r in found] == simple_paths(ROOTS[0], 3)

@@ -45,11 +45,8 @@ def find_symbol(nodes: DataFrame, query: str) -> str:
     if not first:
         raise SymbolNotFound(f"no symbol found matching {query!r}")
     if len(first) > 1:
-        # The message is for a terminal; the whole list is symbol_candidates().
-        shown = [r["id"] for r in hits.orderBy("id").limit(50).collect()]
-        total = hits.count()
-        more = f" … and {total - len(shown)} more" if total > len(shown) else ""
-        raise AmbiguousSymbol(f"ambiguous symbol {query!r}, matches: {', '.join(shown)}{more}")
+        every = (r["id"] for r in hits.select("id").orderBy("id").toLocalIterator())
+        raise AmbiguousSymbol(f"ambiguous symbol {query!r}, matches: {', '.join(every)}")
     return first[0]
 
 

@@ -17,13 +17,6 @@ from pyspark.sql import types as T
 from weftgraph.operators.model import exclude_defines, incoming, node_or_stub, outgoing
 from weftgraph.session import scratch_path, write_counted
 
-# The queue position of a node is the list of the edges that first reached it
-# and its ancestors.  After this many levels it is replaced by a single number.
-TRAIL_LEVELS = 8
-
-# A frontier of at most this many rows is also sent to the scan as a filter.
-PUSHED_IDS = 1000
-
 
 def as_roots(spark: SparkSession, roots: str | Iterable[str] | DataFrame) -> DataFrame:
     """Root ids as one ``root`` column; a DataFrame may hold any number of them."""
@@ -33,48 +26,25 @@ def as_roots(spark: SparkSession, roots: str | Iterable[str] | DataFrame) -> Dat
     return spark.createDataFrame([(i,) for i in ids], "root string")
 
 
-def _shorten(level: DataFrame, empty: Column) -> DataFrame:
-    """Swap the trail for a number that sorts the same way.
-
-    A range-partitioned sort followed by the row id keeps the order without
-    bringing the level into one task.
-    """
-    ranked = level.sort("root", "rank", "trail")
-    return ranked.withColumn("rank", F.monotonically_increasing_id()).withColumn("trail", empty)
-
-
-def _edges_from(adjacency: DataFrame, frontier: DataFrame, size: int) -> DataFrame:
-    """Edges that leave the frontier.
-
-    The ids of a small frontier also become a filter, which a table sorted by
-    the source id answers from its row-group statistics instead of a full scan.
-    """
-    if size <= PUSHED_IDS:
-        ids = [r["id"] for r in frontier.select("id").distinct().take(PUSHED_IDS)]
-        adjacency = adjacency.filter(F.col("src").isin(ids))
-    return adjacency.join(frontier, F.col("src") == F.col("id"))
-
-
 def bfs(adjacency: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFrame:
-    """Nodes reached from each root: (root, id, distance, via, rank, trail).
+    """Nodes reached from each root: (root, id, distance, via, rank).
 
     ``adjacency`` is (src, dst, kind, seq).  ``roots`` has a root column and may
     have id and rank: the nodes each search starts from and their order.
     ``max_depth`` <= 0 has no bound.  ``via`` is the kind of the edge a queue
     would have met first: earliest parent in the queue, then earliest edge.
-    Within a distance, (rank, trail) sorts in queue order.
+    Within a distance, rank sorts in queue order: a level is written with the ranks
+    of the edges that reached it, then sorted by them in ranges and numbered, so
+    a row has the same width at every depth and no level meets in one task.
     """
     spark = adjacency.sparkSession
-    seq_type = adjacency.schema["seq"].dataType
-    empty = F.array().cast(T.ArrayType(seq_type))
-    base = scratch_path(spark, "bfs")
+    base, reached = scratch_path(spark, "bfs"), scratch_path(spark, "bfs-reached")
     level_schema = T.StructType(
         [
             T.StructField("root", T.StringType()),
             T.StructField("id", T.StringType()),
             T.StructField("via", T.StringType()),
             T.StructField("rank", T.LongType()),
-            T.StructField("trail", T.ArrayType(seq_type)),
         ]
     )
     all_levels = T.StructType(level_schema.fields + [T.StructField("distance", T.IntegerType())])
@@ -84,29 +54,24 @@ def bfs(adjacency: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFrame
 
     start = roots if "id" in roots.columns else roots.withColumn("id", F.col("root")).withColumn("rank", F.lit(0))
     start = start.groupBy("root", "id").agg(F.min(F.col("rank").cast("long")).alias("rank"))
-    start = start.select("root", "id", F.lit("").alias("via"), "rank", empty.alias("trail"))
+    start = start.select("root", "id", F.lit("").alias("via"), "rank")
     found = write_counted(start, f"{base}/distance=0")
     depth = 0
     while found and (max_depth <= 0 or depth < max_depth):
         frontier = spark.read.schema(level_schema).parquet(f"{base}/distance={depth}")
         first = (
-            _edges_from(adjacency, frontier, found)
+            adjacency.join(frontier.select("root", "id", "rank"), F.col("src") == F.col("id"))
             .groupBy("root", "dst")
-            .agg(F.min(F.struct("rank", "trail", "seq", "kind")).alias("f"))
-            .select(
-                "root",
-                F.col("dst").alias("id"),
-                F.col("f.kind").alias("via"),
-                F.col("f.rank").alias("rank"),
-                F.concat(F.col("f.trail"), F.array("f.seq")).alias("trail"),
-            )
+            .agg(F.min(F.struct("rank", "seq", "kind")).alias("f"))
+            .select("root", F.col("dst").alias("id"), F.col("f.kind").alias("via"), F.col("f.rank").alias("from_rank"), "f.seq")
         )
         fresh = first.join(visited().select("root", "id"), ["root", "id"], "left_anti")
         depth += 1
-        if depth % TRAIL_LEVELS == 0:
-            fresh = _shorten(fresh, empty)
-        found = write_counted(fresh.select(*level_schema.names), f"{base}/distance={depth}")
-    return visited().select("root", "id", "distance", "via", "rank", "trail")
+        found = write_counted(fresh, f"{reached}/{depth}")
+        if found:
+            level = spark.read.schema(fresh.schema).parquet(f"{reached}/{depth}").sort("root", "from_rank", "seq", "id")
+            level.select("root", "id", "via", F.monotonically_increasing_id().alias("rank")).write.parquet(f"{base}/distance={depth}")
+    return visited().select("root", "id", "distance", "via", "rank")
 
 
 def _reachable(
@@ -160,7 +125,7 @@ def _distances(adjacency: DataFrame, start: DataFrame, max_depth: int) -> DataFr
         frontier = spark.read.schema(level).parquet(f"{base}/distance={depth}")
         visited = spark.read.schema(both).parquet(base).select("id")
         fresh = (
-            _edges_from(adjacency, frontier, found)
+            adjacency.join(frontier, F.col("src") == F.col("id"))
             .select(F.col("dst").alias("id"))
             .distinct()
             .join(visited, "id", "left_anti")
@@ -210,7 +175,7 @@ def expand_subgraph(
     inner = dist.filter(F.col("distance") < depth)
 
     def met(end: str, side: int) -> DataFrame:
-        place = F.struct("distance", "rank", "trail", F.lit(side).alias("side"), "seq")
+        place = F.struct("distance", "rank", F.lit(side).alias("side"), "seq")
         return edges.join(inner, edges[end] == inner["id"]).select("from_id", "to_id", "kind", "seq", place.alias("place"))
 
     return members, met("from_id", 0).unionByName(met("to_id", 1))
