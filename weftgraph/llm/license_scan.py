@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import binary_of
-from weftgraph.llm.words import hash_spans, mixed
+from weftgraph.llm.words import blocks, hash_spans, mixed
 
 #: Short notices by family.
 TEMPLATES = {
@@ -194,23 +194,23 @@ class Scanner:
     def windows(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last + 1 word of every window."""
         cuts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1], [True])))
-        starts, ends, half = [], [], WINDOW // 2
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if z - a <= WINDOW:
-                starts.append(a)
-                ends.append(z)
-            else:
-                s = np.arange(a, z - half, half)
-                starts += s.tolist()
-                ends += np.minimum(s + WINDOW, z).tolist()
-        return np.array(starts), np.array(ends)
-
-    def scan(self, text: bytes) -> dict[str, tuple[float, float, int]]:
-        """family -> (best probability, template share at it, number of windows)."""
-        found: dict[str, tuple[float, float, int]] = {}
-        h, line = tokens(text)
+        first, last, half = cuts[:-1], cuts[1:], WINDOW // 2
+        n = np.where(last - first <= WINDOW, 1, -(-(last - first - half) // half))
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        starts = np.repeat(first, n) + step * half
+        return starts, np.minimum(starts + WINDOW, np.repeat(last, n))
+
+    def scan(self, texts: list[bytes]) -> list[dict[str, tuple[float, float, int]]]:
+        """Per text: family -> (best probability, template share at it, number of windows).
+
+        The texts are scored as one, line by line; no window crosses a line.
+        """
+        found: list[dict[str, tuple[float, float, int]]] = [{} for _ in texts]
+        h, line = tokens(b"\n".join(texts))
         if not len(h):
             return found
+        # The line that each text begins with.
+        begins = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts[:-1]])
         model = self.model
         total = np.zeros((len(h) + 1, len(FAMILIES)), dtype=np.float64)
         counts = np.zeros(len(h) + 1, dtype=np.int64)
@@ -227,8 +227,9 @@ class Scanner:
             pairs = set((part[:-1] * _PLACE[0] + part[1:] * _PLACE[1]).tolist()) if len(part) > 1 else set(part.tolist())
             share = max(_share(t, pairs) for t in self.templates[family])
             if share >= CONFIRMED:
-                old = found.get(family, (0.0, 0.0, 0))
-                found[family] = (*max(old[:2], (float(p[i, best[i]]), share)), old[2] + 1)
+                own = found[int(np.searchsorted(begins, line[a[i]], side="right")) - 1]
+                old = own.get(family, (0.0, 0.0, 0))
+                own[family] = (*max(old[:2], (float(p[i, best[i]]), share)), old[2] + 1)
         return found
 
 
@@ -245,8 +246,9 @@ def scanned(docs: DataFrame, model: Classifier) -> DataFrame:
         scanner = Scanner(own)
         for b in batches:
             rows = []
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows += [(d, f, *x) for f, x in scanner.scan(text).items()]
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for lo, hi in blocks(texts):
+                rows += [(d, f, *x) for d, own in zip(ids[lo:hi], scanner.scan(texts[lo:hi])) for f, x in own.items()]
             columns = list(zip(*rows)) or [[]] * 5
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
