@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import ask
+from weftgraph.extract.analyze import LANGUAGES, by_extension
 from weftgraph.functions import render, text
 from weftgraph.graph import CodeGraph, analyze_and_save, flow_document
 from weftgraph.operators import paths
 from weftgraph.operators.search import AmbiguousSymbol, SymbolNotFound
 from weftgraph.schema import NODE_COLUMNS
+from weftgraph.sources.source_tree import list_sources, open_local
 from weftgraph.sources.store import GraphNotFound, GraphStore
 
 
@@ -170,6 +172,8 @@ def _ask(args, graph: CodeGraph) -> None:
 
 
 def _analyze(args, spark: SparkSession, store: GraphStore) -> None:
+    open_local(args.path)
+    print(f"Found {list_sources(spark, args.path, by_extension(LANGUAGES)).count()} source files")
     graph, analysis = analyze_and_save(spark, args.path, store)
     commit = store.get_meta(args.path, "commit")
     print(f"→ Analyzed {args.path}" + (f" (commit {commit[:8]})" if commit else ""))

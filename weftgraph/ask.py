@@ -16,15 +16,21 @@ from pyspark.sql import functions as F
 from weftgraph.functions import answers, render
 from weftgraph.functions.answers import structured_answer
 
-SYSTEM_PROMPT = """You explain the architecture of a code base from a part of its graph: symbols with their
-signatures and the relations between them. Answer from that part only and say when it is not enough.
+# The headings that structured_answer() looks for.
+HEADINGS = ("EXPLANATION", "MERMAID", "ASCII")
 
-Give three sections in this order:
-1. EXPLANATION: three to eight sentences in the language of the question, naming symbols and files as they are.
-2. MERMAID: a ```mermaid flowchart of the flow.
-3. ASCII: the same flow as a tree of arrows like "└─►".
+SYSTEM_PROMPT = """A reader asks about source code. Below the question stand lines of a table: nodes as
+"- [kind] name (file) :: signature" and edges as "- source --kind--> target". They are all you know.
 
-Add no symbol, file or relation that is not in the given part."""
+Reply in numbered parts:
+"""
+SYSTEM_PROMPT += "\n".join(
+    f"{i}. {heading}: {what}"
+    for i, (heading, what) in enumerate(
+        zip(HEADINGS, ("prose that answers the question.", "one fenced mermaid block drawn from the edges.", "one fenced block with those edges as indented text.")),
+        1,
+    )
+)
 
 NO_MATCH = "No symbol of the graph matches that question. Name a function, class or endpoint."
 

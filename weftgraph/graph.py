@@ -66,7 +66,7 @@ class CodeGraph:
         return traverse.endpoints_reaching(self.nodes, self.edges_by_target, matcher, depth)
 
     def expand(self, seeds: Iterable[str] | DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
-        return traverse.expand_subgraph(self.nodes, self.edges, seeds, depth)
+        return traverse.expand_subgraph(self.nodes, self.edges, seeds, depth, self.edges_by_target)
 
     def seeds(self, question: str, root: str | None = None) -> list[str]:
         """The given root, or the few best lexical matches, best first."""

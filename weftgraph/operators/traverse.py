@@ -135,6 +135,11 @@ def _distances(adjacency: DataFrame, start: DataFrame, max_depth: int) -> DataFr
     return spark.read.schema(both).parquet(base)
 
 
+def nearest(edges: DataFrame, sources: DataFrame, max_depth: int = 0) -> DataFrame:
+    """(id, distance) of everything that depends on one of ``sources`` (id), by the nearest of them; they are at 0."""
+    return _distances(incoming(exclude_defines(edges)), sources, max_depth)
+
+
 def endpoints_reaching(
     nodes: DataFrame, edges: DataFrame, matcher: Column | Callable[[DataFrame], DataFrame], max_depth: int = 0
 ) -> DataFrame:
@@ -144,10 +149,16 @@ def endpoints_reaching(
 
 
 def expand_subgraph(
-    nodes: DataFrame, edges: DataFrame, seeds: Iterable[str] | DataFrame, depth: int = 2
+    nodes: DataFrame,
+    edges: DataFrame,
+    seeds: Iterable[str] | DataFrame,
+    depth: int = 2,
+    edges_by_target: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The neighbourhood of the seeds over all edges, both ways: (nodes, edges).
 
+    ``edges_by_target`` are the same edges as stored for backward steps.
+
     An edge is listed once for each of its ends that was expanded, so an edge
     inside the neighbourhood appears twice and one between two outermost nodes
     not at all.  A depth of zero gives the seed nodes and no edges.  Seeds are
@@ -164,7 +175,8 @@ def expand_subgraph(
     def sided(links: DataFrame, side: int) -> DataFrame:
         return links.withColumn("seq", F.struct(F.lit(side).alias("side"), "seq"))
 
-    around = sided(outgoing(edges), 0).unionByName(sided(incoming(edges), 1))
+    backward = edges if edges_by_target is None else edges_by_target
+    around = sided(outgoing(edges), 0).unionByName(sided(incoming(backward), 1))
     if depth > 0:
         dist = bfs(around, start, depth).drop("root", "via")
     else:
@@ -174,8 +186,8 @@ def expand_subgraph(
         return members, edges.filter(F.lit(False)).withColumn("place", F.lit(None).cast("string"))
     inner = dist.filter(F.col("distance") < depth)
 
-    def met(end: str, side: int) -> DataFrame:
+    def met(edges: DataFrame, end: str, side: int) -> DataFrame:
         place = F.struct("distance", "rank", F.lit(side).alias("side"), "seq")
         return edges.join(inner, edges[end] == inner["id"]).select("from_id", "to_id", "kind", "seq", place.alias("place"))
 
-    return members, met("from_id", 0).unionByName(met("to_id", 1))
+    return members, met(edges, "from_id", 0).unionByName(met(backward, "to_id", 1))

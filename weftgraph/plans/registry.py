@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph import ask
@@ -204,6 +204,19 @@ def impact_of_every_supplier(spark, sf):
     return traverse.impact(*_graph(spark, sf), suppliers).select("root", "id", "distance", "via")
 
 
+@register(
+    "distance_to_nearest_supplier",
+    f"""WITH RECURSIVE {S.EDGES}, e AS (SELECT DISTINCT from_id, to_id FROM edges WHERE kind <> 'defines'),
+    walk AS (SELECT 'supplier::' || s_suppkey AS id, 0 AS distance FROM supplier
+      UNION SELECT e.from_id, w.distance + 1 FROM walk w JOIN e ON e.to_id = w.id)
+    SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM walk GROUP BY id""",
+)
+def distance_to_nearest_supplier(spark, sf):
+    # One search from all suppliers: a row per node, whatever the number of sources.
+    suppliers = star.nodes(spark, sf).filter("startswith(id, 'supplier::')").select("id")
+    return traverse.nearest(star.edges(spark, sf), suppliers)
+
+
 @register("cyclic_impact", _walk_sql(S.EVENT_EDGES, "type::click", False, 4))
 def cyclic_impact(spark, sf):
     nodes, edges = star.event_nodes(spark, sf), star.event_edges(spark, sf)
@@ -342,27 +355,29 @@ def ascii_flow(spark, sf):
 @register(
     "ascii_flow_lines",
     f"""WITH RECURSIVE {S.NODES}, {S.ORDERED_EDGES}, e AS (SELECT from_id, to_id, kind, min(spot) AS spot FROM ordered GROUP BY ALL),
-     r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY spot DESC, to_id DESC, kind DESC) = 1 AS is_last FROM e),
-     walk AS (SELECT 'order::7' AS tail, '' AS stem, '' AS start, 'calls' AS via, 0 AS d
+     r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY spot DESC, to_id DESC, kind DESC) = 1 AS is_last,
+       row_number() OVER (PARTITION BY from_id ORDER BY spot, to_id, kind) AS nth FROM e),
+     walk AS (SELECT 'order::7' AS tail, '' AS stem, '' AS start, 'calls' AS via, 0 AS d, [CAST(0 AS BIGINT)] AS keys
        UNION ALL SELECT r.to_id, w.stem || CASE WHEN is_last THEN '     ' ELSE '│    ' END,
-         w.stem || CASE WHEN is_last THEN '└─► ' ELSE '├─► ' END, r.kind, w.d + 1 FROM walk w JOIN r ON r.from_id = w.tail WHERE w.d < 5)
+         w.stem || CASE WHEN is_last THEN '└─► ' ELSE '├─► ' END, r.kind, w.d + 1, list_append(w.keys, r.nth) FROM walk w JOIN r ON r.from_id = w.tail WHERE w.d < 5)
     SELECT start || CASE WHEN via = 'calls' THEN '' ELSE '[' || via || '] ' END
-      || CASE WHEN qualified <> '' THEN qualified ELSE name END AS line FROM walk JOIN nodes ON id = tail""",
+      || CASE WHEN qualified <> '' THEN qualified ELSE name END AS line, row_number() OVER (ORDER BY keys) AS place FROM walk JOIN nodes ON id = tail""",
 )
 def ascii_flow_lines(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return render.flow_lines(paths.path_steps(paths.flow_paths(edges, "order::7"), nodes)).select("line")
+    lines = render.flow_lines(paths.path_steps(paths.flow_paths(edges, "order::7"), nodes))
+    return lines.select("line", F.row_number().over(Window.partitionBy("root").orderBy("place")).cast("long").alias("place"))
 
 
 @register(
     "ascii_impact",
     _walk_sql(S.EDGES, "nation::3", False, None).replace(f"WITH RECURSIVE {S.EDGES}", f"WITH RECURSIVE {S.NODES}, {S.EDGES}")
-    .replace("SELECT id, min(distance)", "SELECT DISTINCT 'depth ' || distance || ':' AS line FROM (SELECT id, min(distance)")
-    + ") UNION ALL SELECT '  - ' || CASE WHEN qualified <> '' THEN qualified ELSE name END || ' (' || kind || ') via ' || h.via || ' [' || file || ']' "
+    .replace("SELECT id, min(distance)", "SELECT DISTINCT distance, 0 AS pos, '' AS id, 'depth ' || distance || ':' AS line FROM (SELECT id, min(distance)")
+    + ") UNION ALL SELECT distance, 1, id, '  - ' || CASE WHEN qualified <> '' THEN qualified ELSE name END || ' (' || kind || ') via ' || h.via || ' [' || file || ']' "
     "FROM (SELECT id, min(distance) AS distance, arg_min(via, distance) AS via FROM walk WHERE id <> 'nation::3' GROUP BY id) h JOIN nodes USING (id)",
 )
 def ascii_impact(spark, sf):
-    return render.reachable_lines(traverse.impact(*_graph(spark, sf), "nation::3")).select("line")
+    return render.reachable_lines(traverse.impact(*_graph(spark, sf), "nation::3")).select("distance", "pos", "id", "line")
 
 
 # --- lookup and search -------------------------------------------------------------------
@@ -499,15 +514,12 @@ def resolve_imports(spark, sf):
     """WITH acts AS (
       SELECT l_orderkey, 'part::' || l_partkey AS name, struct_pack(l := l_linenumber, c := 0, o := l_partkey) AS spot FROM lineitem
       UNION ALL SELECT l_orderkey, 'supplier::' || l_suppkey, struct_pack(l := l_linenumber, c := 1, o := l_suppkey) FROM lineitem)
-    SELECT 'order::' || l_orderkey AS from_id, count(*) AS n, arg_min(name, spot) AS first_action, arg_max(name, spot) AS last_action
-    FROM acts GROUP BY l_orderkey""",
+    SELECT 'order::' || l_orderkey AS from_id, name, row_number() OVER (PARTITION BY l_orderkey ORDER BY spot) AS place FROM acts""",
 )
 def source_order_merge(spark, sf):
-    # The merged order is the sort order of seq; nothing has to be listed or numbered.
-    acts = star.actions(spark, sf).groupBy("from_id")
-    return acts.agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("name", "seq").alias("first_action"), F.max_by("name", "seq").alias("last_action")
-    )
+    # The merged order is the sort order of seq; it is numbered here to be compared.
+    place = F.row_number().over(Window.partitionBy("from_id").orderBy("seq"))
+    return star.actions(spark, sf).select("from_id", "name", place.cast("long").alias("place"))
 
 
 # --- scalar renderings -------------------------------------------------------------------
