@@ -45,3 +45,13 @@ def test_redirect_table_and_empty(spark):
     table = spark.createDataFrame([("http://free.test/", "http://b.net/"), (None, "http://b.net/")], "from_url string, to_url string")
     assert judged(spark, PAGES, table)[9].verdict == "block"
     assert judged(spark, []) == {}
+
+
+def test_sql_agrees(spark):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(PAGES, columns=["page_id", "url", "html"]))
+    want = {r[0]: r[1:] for r in con.execute(url_filter.SQL).fetchall()}
+    assert {k: (r.host, r.path, r.rule, r.verdict, r.alias) for k, r in judged(spark, PAGES).items()} == want

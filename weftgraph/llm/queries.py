@@ -57,7 +57,7 @@ def op9_mixing(spark, sf):
 QUERIES["pipeline"] = corpus_pipeline.run
 
 
-@register("op1_url_filter")
+@register("op1_url_filter", url_filter.SQL)
 def op1_url_filter(spark, sf):
     return url_filter.judged(table(spark, sf, "pages"))
 

@@ -125,3 +125,50 @@ def judged(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     by_alias = F.col("own").isNull() & F.coalesce("blocked", F.lit(False))
     verdict = F.coalesce(F.col("own.verdict"), F.when(by_alias, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), by_alias.alias("alias"))
+
+
+def _sql() -> str:
+    """The same judgement of a ``pages`` table in SQL."""
+
+    def low(x: str) -> str:
+        return f"translate({x}, '{_UPPER}', '{_LOWER}')"
+
+    def host_of(x: str) -> str:
+        return low(f"regexp_extract(coalesce({x}, ''), '(?s)^.*?://([^/?#]*)', 1)")
+
+    def path_of(x: str) -> str:
+        return f"regexp_extract(coalesce({x}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+    def node_of(x: str) -> str:
+        bare = f"regexp_replace(trim({x}), '(?s)#.*$', '')"
+        start, rest = low(f"regexp_extract({bare}, '(?s)^(.*?://[^/?]*)', 1)"), f"regexp_extract({bare}, '(?s)^.*?://[^/?]*(.*)$', 1)"
+        return f"CASE WHEN {start} <> '' THEN {start} || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END"
+
+    def value(name: str) -> str:
+        return f"""regexp_extract(tag, '(?is)\\b{name}\\s*=\\s*["'']?([^"''>]*)', 1)"""
+
+    def ruled(what: str) -> str:
+        cases = [
+            f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if what == 'rule' else v}'"
+            for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+        ]
+        return f"CASE {' '.join(cases)} END"
+
+    href = "coalesce(" + ", ".join(f"""nullif(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*{q}', 1), '')""" for q in ('"([^"]*)"', "''([^'']*)''", """([^\\s>"'']+)""")) + ")"
+    site, folder = "regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)", "regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/[^?#/]*)*/)', 1)"
+    return f"""
+WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+found AS (SELECT url, trim(replace(CASE WHEN regexp_matches(lower({value("rel")}), '(^|\\s)canonical(\\s|$)') THEN {href}
+  WHEN lower(trim({value("http-equiv")})) = 'refresh' THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*[''"]?([^"''>\\s]+)', 1) END, '&amp;', '&')) AS t FROM tags),
+seen AS (SELECT url, CASE WHEN t = '' THEN NULL WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?):', 1) || ':' || t
+  WHEN starts_with(t, '/') THEN {site} || t ELSE CASE WHEN {folder} = '' THEN {site} || '/' ELSE {folder} END || t END AS target FROM found WHERE t IS NOT NULL),
+one AS (SELECT {node_of("url")} AS a, {node_of("target")} AS b FROM seen),
+edges AS (SELECT a, b FROM one WHERE a <> b UNION SELECT b, a FROM one WHERE a <> b),
+ends AS (SELECT DISTINCT a AS node, {host_of("a")} AS host, {path_of("a")} AS path FROM edges),
+walk AS (SELECT node FROM ends WHERE {ruled("verdict")} = 'block' UNION SELECT e.b FROM walk w JOIN edges e ON e.a = w.node),
+own AS (SELECT page_id, {host_of("url")} AS host, {path_of("url")} AS path, {node_of("url")} AS node FROM pages),
+fit AS (SELECT *, {ruled("rule")} AS rule, {ruled("verdict")} AS verdict, coalesce(node IN (SELECT node FROM walk), false) AS hit FROM own)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN hit THEN 'block' ELSE 'allow' END) AS verdict, rule IS NULL AND hit AS alias FROM fit"""
+
+
+SQL = _sql()
