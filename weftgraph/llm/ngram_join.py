@@ -467,17 +467,13 @@ def _candidates(members: DataFrame, near: int, best: bool) -> DataFrame:
         now, rows = None, []
 
         def done():
-            ids, n, part, block, sketches, gids = zip(*rows)
+            ids, n, part, block, sketches = zip(*rows)
             at = _close(np.array(n), np.unique(np.array(part), return_inverse=True)[1], np.array(block), list(sketches), near, best)
-            if not best:
-                # Pairs that meet in many groups come from the first of them.
-                sets = [frozenset(g) for g in gids]
-                at = at[:, [min(sets[x] & sets[y]) == now[0] for x, y in at.T.tolist()]]
             got = np.array(ids)[at]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(got[0], got[1])), pa.array(np.maximum(got[0], got[1]))], names=["a", "b"])
 
         for batch in batches:
-            for gid, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in range(9))):
+            for gid, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
                 if (gid, lo, hi) != now and rows:
                     yield done()
                     rows = []
@@ -486,12 +482,10 @@ def _candidates(members: DataFrame, near: int, best: bool) -> DataFrame:
         if rows:
             yield done()
 
-    every = members.groupBy("f1").agg(F.collect_set("gid").alias("gids"))
-    members = members.join(every, "f1")
     blocks = members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks, "gid").withColumn("block", F.pmod(F.hash("f1"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "f1", "n_shingles", "c", "block", "sketch", "gids")
+    dealt = dealt.select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "f1", "n_shingles", "c", "block", "sketch")
     return dealt.repartition("gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -562,6 +556,9 @@ def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> Dat
         groups = still.select("f1", "gid").join(apart, "gid", "left_anti").select("f1", "gid").union(fresh)
         still = materialize(_placed(groups, classes, joined), "open")
 
+    # Groups with the same least member mostly hold the same others: they become one.
+    least = still.groupBy("gid").agg(F.min("f1").alias("pivot"))
+    still = materialize(still.join(least, "gid").select("f1", F.col("pivot").alias("gid"), "c").distinct(), "open")
     # The nearest partners first, in a member's largest group: they join most members, which leaves few pairs across components.
     for best in (True, False):
         if not still.take(1):
