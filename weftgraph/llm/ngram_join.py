@@ -41,6 +41,7 @@ id has the same set; rows that repeat an id are one document.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -489,6 +490,21 @@ def _candidates(members: DataFrame, near: int, best: bool) -> DataFrame:
     return dealt.repartition("gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``materialize``, then let Spark's cleaner drop the shuffle files behind it.
+
+    The cleaner works when the driver collects garbage, which a small heap of a
+    long job may put off until the disks hold every shuffle of the job.
+    """
+    out = materialize(df, label)
+    del df
+    gc.collect()
+    jvm = getattr(out.sparkSession.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+    return out
+
+
 def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links) for every row of ``docs``.
 
@@ -502,7 +518,7 @@ def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> Dat
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(64, total * 2 // 3 // BUCKET)
 
-    found = materialize(met(keyed(docs, k, near, n_buckets)), "met")
+    found = _written(met(keyed(docs, k, near, n_buckets)), "met")
     pairs = materialize(_possible(found.where(F.col("gid").isNull()).select("a", "b").distinct(), classes, near), "pairs")
     groups = materialize(found.where(F.col("gid").isNotNull()).select(F.col("a").alias("f1"), "gid").distinct(), "groups")
     # Sketches and texts that any later step can ask for.
@@ -517,7 +533,7 @@ def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> Dat
     sketches = filled.join(_listed(named(pairs).toDF("doc_id", "text_hash")), ["doc_id", "text_hash"], "left_semi")
     sketches = materialize(sketches.select("doc_id", "text_hash", "f1", "n_shingles", "sketch").dropDuplicates(["doc_id", "text_hash"]), "sketches")
     pairs = materialize(_fine(pairs, sketches, near), "pairs")
-    texts = materialize(_texts_of(docs, named(pairs)), "texts")
+    texts = _written(_texts_of(docs, named(pairs)), "texts")
     done = [pairs.select("a_doc_id", "b_doc_id")]
 
     def merged(joined: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -527,9 +543,9 @@ def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> Dat
             pairs = pairs.join(d, ["a_doc_id", "b_doc_id"], "left_anti")
         pairs = materialize(_fine(pairs, sketches, near), "pairs")
         done.append(pairs.select("a_doc_id", "b_doc_id"))
-        return materialize(components(joined.toDF("a", "b").union(verified(pairs, texts, k, near)), "a", "b"), "joined")
+        return _written(components(joined.toDF("a", "b").union(verified(pairs, texts, k, near)), "a", "b"), "joined")
 
-    joined = materialize(components(verified(pairs, texts, k, near), "a", "b"), "joined")
+    joined = _written(components(verified(pairs, texts, k, near), "a", "b"), "joined")
     # Very large groups that span components are split by a further piece, until they are smaller or all alike.
     gone = None
     still = materialize(_placed(groups, classes, joined), "open")
