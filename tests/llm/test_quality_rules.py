@@ -102,3 +102,26 @@ def test_filter(spark):
     ids = {r.doc_id for r in kept.collect()}
     assert None not in ids and 900 not in ids and not ids & set(range(160, 168)) and len(ids) > 150
     assert Q.filter_documents(documents(spark, [])).collect() == []
+
+
+def test_small_groups_are_judged_one_level_up(spark):
+    plain = [(i, t, "en", "a") for i, t, *_ in corpus(3, 60)[:60]]
+    junk = "\n".join(f"JUNK{j} ### $$$ {j}!!" for j in range(60))
+    # Three rows of a rare source, and three of a language that has no other.
+    rare = [(900, junk, "en", "rare"), (901, plain[0][1], "en", "rare"), (902, plain[1][1], "en", "rare")]
+    alone = [(910, junk, "xx", None), (911, plain[2][1], "xx", None), (912, plain[3][1], None, "rare")]
+    got = {r.doc_id: r for r in Q.judged(documents(spark, plain + rare + alone)).collect()}
+    assert len(got) == len(plain) + 6
+    assert {i for i in got if i >= 900 and not got[i].kept} == {900, 910}
+    assert all(got[i].distance is None and got[i].wider_distance is not None for i in got if i >= 900)
+    assert all(got[i].distance is not None and got[i].wider_distance is None for i in range(60))
+    # The language's estimate is what a table of one group with the same rows gets.
+    one = [(i, t, "en", "a") for i, t, *_ in plain + rare]
+    want = model(one)
+    assert all(abs(want[i] - got[i].wider_distance) < 1e-6 * max(1, want[i]) for i in (900, 901, 902))
+    # So is the corpus's.
+    want = model([(i, t, "en", "a") for i, t, *_ in plain + rare + alone])
+    assert all(abs(want[i] - got[i].wider_distance) < 1e-6 * max(1, want[i]) for i in (910, 911, 912))
+    # Too few rows altogether: nothing to compare with.
+    few = Q.judged(documents(spark, rare)).collect()
+    assert all(r.kept and r.distance is None and r.wider_distance is None for r in few)

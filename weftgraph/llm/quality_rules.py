@@ -7,6 +7,10 @@ the fraction ``SUPPORT`` of rows with the smallest distances, take their mean
 and covariance, repeat.  Rows whose squared Mahalanobis distance from the final
 estimate exceeds ``CUTOFF`` are rejected.
 
+A group with too few rows for an estimate is judged one level up: by the
+estimate of its language over all sources, or, if that has too few rows as well,
+by that of the whole corpus.  Both come from the same steps.
+
 Everything is DataFrame functions.  A text is read once and reduced to one
 narrow row, which is written to the scratch folder; the steps scan only that.
 Quantiles come from counts per value on a grid, so they are exact on the grid,
@@ -15,7 +19,9 @@ a table with a row per group; nothing is collected.
 
 Defined cases: null text counts as empty; null language or source is a group of
 its own; groups with fewer than ``MIN_ROWS`` rows that passed the base rules
-have no estimate and their documents are kept; equal rows get equal verdicts;
+have no distance of their own but a ``wider_distance``; only if the whole table
+has fewer such rows is there nothing to compare with, and what passed the base
+rules is kept; equal rows get equal verdicts;
 an empty table gives an empty result.  Only ``doc_id``, ``text``, ``lang`` and
 ``source`` are read, so further columns may have any name.
 """
@@ -34,7 +40,7 @@ SUPPORT = 0.75
 STEPS = 4
 #: Squared distance beyond which a row is an outlier (in units where the median row has the chi-square median).
 CUTOFF = 180.0
-#: Groups with fewer rows have no estimate.
+#: Groups with fewer rows have no estimate of their own.
 MIN_ROWS = 24
 #: Least standard deviation of each transformed statistic: variation below it is never unusual.
 FLOORS = {
@@ -105,9 +111,12 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def _grouped(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows with their group's estimate; groups are few beside rows, so Spark may broadcast them if they are small."""
-    r = right.withColumnRenamed("lang", "g_lang").withColumnRenamed("source", "g_source")
+def _grouped(left: DataFrame, right: DataFrame, few: bool = False) -> DataFrame:
+    """Rows with their group's estimate; groups are few beside rows, so Spark may broadcast them if they are small.
+
+    ``few``: groups are languages or one, so a shuffle would gather all rows in as many tasks.
+    """
+    r = (F.broadcast(right) if few else right).withColumnRenamed("lang", "g_lang").withColumnRenamed("source", "g_source")
     return left.join(r, left["lang"].eqNullSafe(r["g_lang"]) & left["source"].eqNullSafe(r["g_source"])).drop("g_lang", "g_source")
 
 
@@ -161,11 +170,12 @@ def _columns() -> list[str]:
     return ["lang", "source", *[f"m_{i}" for i in p], *[_lower(i, j) for i in p for j in range(i + 1)]]
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _start(rows: DataFrame, few: bool) -> DataFrame:
     """Medians and absolute deviations of each statistic alone."""
     long = rows.select("lang", "source", F.posexplode(F.array(*VECTOR)).alias("v", "x"))
     middle = _quantile(long, ["lang", "source", "v"], F.col("x"), 0.5, "m")
     middle = middle.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.col("v").alias("g_v"), "m", "total")
+    middle = F.broadcast(middle) if few else middle
     off = long.join(middle, long["lang"].eqNullSafe(middle["g_lang"]) & long["source"].eqNullSafe(middle["g_source"]) & (long["v"] == middle["g_v"]))
     spread = _quantile(off.withColumn("r", F.abs(F.col("x") - F.col("m"))), ["lang", "source", "v", "m"], F.col("r"), 0.5, "s")
     p = range(len(VECTOR))
@@ -182,11 +192,11 @@ def _start(rows: DataFrame) -> DataFrame:
     return wide.select(*_columns())
 
 
-def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def _concentrate(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
     """Mean and covariance of the rows nearest to the last estimate."""
-    near = _distance(_grouped(rows, estimate)).select("lang", "source", *VECTOR, F.sqrt("d2").alias("d"))
+    near = _distance(_grouped(rows, estimate, few)).select("lang", "source", *VECTOR, F.sqrt("d2").alias("d"))
     bound = _quantile(near, ["lang", "source"], F.col("d"), SUPPORT, "bound").drop("total")
-    core = _grouped(near, bound).where(F.ceil(F.col("d") * GRID) <= F.col("bound") * GRID)
+    core = _grouped(near, bound, few).where(F.ceil(F.col("d") * GRID) <= F.col("bound") * GRID)
     p = range(len(VECTOR))
     fit = core.groupBy("lang", "source").agg(
         *[F.avg(v).alias(f"m_{i}") for i, v in enumerate(VECTOR)],
@@ -195,23 +205,61 @@ def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return _factor(fit).select(*_columns())
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """A row per document: key, counts, base_failed, distance (null without an estimate) and kept."""
-    rows = materialize(statistics(docs), "quality")
-    good = rows.where(~F.col("base_failed")).select("lang", "source", *VECTOR)
-    estimate = materialize(_start(good), "quality-start")
+def _estimates(good: DataFrame, few: bool = False) -> DataFrame:
+    """Centre, factor and scale of every (lang, source) with at least ``MIN_ROWS`` rows."""
+    estimate = materialize(_start(good, few), "quality-start")
     for _ in range(STEPS):
-        estimate = materialize(_concentrate(good, estimate), "quality-step")
+        estimate = materialize(_concentrate(good, estimate, few), "quality-step")
     # Scale: the median row of a group has the median distance of a normal sample.
-    near = _distance(_grouped(good, estimate)).select("lang", "source", F.sqrt("d2").alias("d"))
+    near = _distance(_grouped(good, estimate, few)).select("lang", "source", F.sqrt("d2").alias("d"))
     middle = _quantile(near, ["lang", "source"], F.col("d"), 0.5, "mid").drop("total")
     # A spread below the floors is no reason to magnify distances.
-    scaled = _grouped(estimate, middle.select("lang", "source", F.greatest(F.col("mid") * F.col("mid") / MEDIAN, F.lit(1.0)).alias("scale")))
+    scale = F.greatest(F.col("mid") * F.col("mid") / MEDIAN, F.lit(1.0)).alias("scale")
+    return _grouped(estimate, middle.select("lang", "source", scale), few).select(*_columns(), "scale")
+
+
+def _wider(good: DataFrame) -> DataFrame:
+    """Estimates for the groups that have too few rows for their own: lang, source and the columns of an estimate."""
+    none = F.lit(None).cast("string")
+    counts = materialize(good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "quality-groups")
+    small = counts.where(F.col("n") < MIN_ROWS).select("lang", "source")
+    over = counts.groupBy(F.col("lang").alias("o_lang")).agg(F.sum("n").alias("o_n"))
+    small = materialize(small.join(over, small["lang"].eqNullSafe(over["o_lang"])).select("lang", "source", "o_n"), "quality-small")
+    by_lang, by_all = small.where(F.col("o_n") >= MIN_ROWS), small.where(F.col("o_n") < MIN_ROWS)
+    found = []
+    if not by_lang.isEmpty():
+        langs = by_lang.select(F.col("lang").alias("o_lang")).distinct()
+        rows = good.join(F.broadcast(langs), good["lang"].eqNullSafe(langs["o_lang"]), "left_semi")
+        up = _estimates(materialize(rows.withColumn("source", none), "quality-languages"), few=True)
+        found.append((by_lang, up.drop("source").withColumnRenamed("lang", "u_lang")))
+    if not by_all.isEmpty():
+        up = _estimates(materialize(good.withColumns({"lang": none, "source": none}), "quality-corpus"), few=True)
+        found.append((by_all, up.drop("lang", "source").withColumn("u_lang", none)))
+    out = None
+    for groups, up in found:
+        met = groups["lang"].eqNullSafe(up["u_lang"]) if groups is by_lang else F.lit(True)
+        part = groups.join(F.broadcast(up), met).select(*_columns(), "scale")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """A row per document: key, counts, base_failed, distance, wider_distance and kept.
+
+    ``distance`` is from the estimate of the document's own group, ``wider_distance`` from the one that stands in for it.
+    """
+    rows = materialize(statistics(docs), "quality")
+    good = rows.where(~F.col("base_failed")).select("lang", "source", *VECTOR)
+    scaled = _estimates(good).withColumn("own", F.lit(True))
+    wider = _wider(good)
+    if wider is not None:
+        scaled = scaled.unionByName(wider.withColumn("own", F.lit(False)))
     scaled = scaled.withColumnRenamed("lang", "g_lang").withColumnRenamed("source", "g_source")
     out = rows.join(scaled, rows["lang"].eqNullSafe(scaled["g_lang"]) & rows["source"].eqNullSafe(scaled["g_source"]), "left")
-    out = _distance(out).withColumn("distance", F.col("d2") / F.col("scale"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return out.select("doc_id", "k_id", "k_hash", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *VECTOR, "distance", kept.alias("kept"))
+    out = _distance(out).withColumn("any_distance", F.col("d2") / F.col("scale"))
+    out = out.withColumns({"distance": F.when(F.col("own"), F.col("any_distance")), "wider_distance": F.when(~F.col("own"), F.col("any_distance"))})
+    kept = ~F.col("base_failed") & F.coalesce(F.col("any_distance") <= CUTOFF, F.lit(True))
+    return out.select("doc_id", "k_id", "k_hash", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *VECTOR, "distance", "wider_distance", kept.alias("kept"))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @register("op5_quality_rules")
 def op5_quality_rules(spark, sf):
     judged = quality_rules.judged(table(spark, sf, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "wider_distance")
 
 
 @register("op10_ngram_join")
