@@ -110,3 +110,23 @@ def test_licences(spark):
     got = {(x.doc_id, x.family) for x in license_scan.scanned(docs, model).collect()}
     assert got == {(100, "mit"), (101, "apache"), (102, "cc-by-nc")}
     assert license_scan.scanned(documents(spark, []), license_scan.train(documents(spark, []))).collect() == []
+
+
+def test_wrapped_licences(spark):
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License"]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+    cc0 = ["To the extent possible under law, the author has waived all", "copyright under CC0 1.0 Universal and dedicated the work to the", "public domain"]
+    r = random.Random(8)
+    noise = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(n))
+    rows, want = [(i, noise(30) + "\n" + noise(12), "en", "a") for i in range(60)], set()
+    for k, lead in enumerate(["", "# ", " * ", "// ", "REM ", "dnl "]):
+        for n, (family, lines) in enumerate((("gpl", gpl), ("bsd", bsd), ("cc0", cc0))):
+            rows.append((100 + 10 * k + n, noise(15) + "\n\n" + "\n".join(lead + x for x in lines) + f"\n{lead}\n" + noise(10), "en", "a"))
+            want.add((100 + 10 * k + n, family))
+    # The halves of a notice in two paragraphs, and in two documents, are none.
+    rows += [(200, "\n".join([gpl[0], "#", gpl[1]]), "en", "a"), (201, gpl[0], "en", "a"), (202, gpl[1], "en", "a")]
+    # A notice on a line of its own counts once, whatever stands around it.
+    rows.append((203, noise(8) + "\nReleased under the MIT License.\n" + noise(8), "en", "a"))
+    docs = documents(spark, rows)
+    got = {(x.doc_id, x.family): x.n_windows for x in license_scan.scanned(docs, license_scan.train(docs)).collect()}
+    assert set(got) == want | {(203, "mit")} and got[203, "mit"] == 1

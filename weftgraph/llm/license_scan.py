@@ -9,14 +9,18 @@ family must reach ``SURE`` of probability.  A prediction is confirmed by
 comparison with the family's templates: enough of a template's word pairs must
 be in the window.
 
-Paragraphs are the lines of a text.  A paragraph is scored as a whole up to
+A paragraph ends at a line without a word, so a blank line with a comment leader
+ends one too.  Notices stand on one line or are wrapped over several, so the
+lines of a paragraph are scored one by one and joined: as a whole up to
 ``WINDOW`` words, else in windows that overlap by half, so a notice inside a
-long paragraph is seen.  Weights of n-grams are summed by running totals: the
+long paragraph is seen.  Comment leaders are no words, or dropped if they are
+(``LEADERS``).  Weights of n-grams are summed by running totals: the
 cost per word is constant.  Scoring is a map over the documents.
 
 Defined cases: null or blank text has no paragraph and no row; a family that
 occurs several times in a document is one row with its best window and the
-number of windows; repeated rows give repeated results; without any document
+number of windows (joined windows that touch a line with the same family are
+not counted again); repeated rows give repeated results; without any document
 the classifier is trained on the notices alone.
 """
 
@@ -64,6 +68,9 @@ SURE, CONFIRMED, WINDOW = 0.8, 0.6, 24
 SPACE_BITS, VARIANTS, SAMPLE, SAMPLE_BYTES = 17, 240, 3000, 600
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-6
 
+#: Words that lead comment lines.
+LEADERS = [b"rem", b"dnl"]
+
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -80,6 +87,19 @@ def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return hash_spans(buf, starts, ends), line
 
 
+def led(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Whether each word leads a comment line."""
+    return np.isin(h, _LEADING) & np.concatenate(([True], line[1:] != line[:-1]))
+
+
+def paragraphs(line: np.ndarray) -> np.ndarray:
+    """Number of each word's paragraph: lines without a word between two words part them."""
+    return np.cumsum(np.concatenate(([0], np.diff(line) > 1)))
+
+
+_LEADING = np.concatenate([tokens(x)[0] for x in LEADERS])
+
+
 def grams(h: np.ndarray, line: np.ndarray) -> list[np.ndarray]:
     """Feature of the n-gram that ends at each word, for n = 1, 2, 3; -1 where it would cross a line."""
     out = []
@@ -207,34 +227,63 @@ class Scanner:
     def scan(self, texts: list[bytes]) -> list[dict[str, tuple[float, float, int]]]:
         """Per text: family -> (best probability, template share at it, number of windows).
 
-        The texts are scored as one, line by line; no window crosses a line.
+        The texts are scored as one, line by line and paragraph by paragraph; no window crosses a paragraph.
         """
         found: list[dict[str, tuple[float, float, int]]] = [{} for _ in texts]
-        h, line = tokens(b"\n".join(texts))
+        h, line = tokens(b"\n\n".join(texts))
         if not len(h):
             return found
         # The line that each text begins with.
-        begins = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts[:-1]])
+        begins = np.cumsum([0] + [t.count(b"\n") + 2 for t in texts[:-1]])
+        seen: list[tuple[str, int, int]] = []
+        part = paragraphs(line)
+        self._score(h, line, line, begins, seen, found)
+        # Joined lines, without what leads them; a paragraph of one line has been scored.
+        keep = ~led(h, line)
+        place = np.flatnonzero(keep)
+        if len(place):
+            self._score(h[keep], part[keep], line[keep], begins, seen, found, place)
+        return found
+
+    def _score(self, h: np.ndarray, unit: np.ndarray, line: np.ndarray, begins: np.ndarray, seen: list, found: list, place: np.ndarray | None = None) -> None:
+        """Adds to ``found`` what windows within a unit hold; ``place``: words' places among all, given for joined lines."""
         model = self.model
         total = np.zeros((len(h) + 1, len(FAMILIES)), dtype=np.float64)
         counts = np.zeros(len(h) + 1, dtype=np.int64)
-        for f in grams(h, line):
+        for f in grams(h, unit):
             w = model.w[np.maximum(f, 0)] * (f >= 0)[:, None]
             total[1:] += np.cumsum(w, axis=0, dtype=np.float64)
             counts[1:] += np.cumsum(f >= 0)
-        a, z = self.windows(line)
+        a, z = self.windows(unit)
+        if place is not None:
+            ends = np.flatnonzero(np.concatenate((unit[1:] != unit[:-1], [True])))
+            several = line[ends[np.searchsorted(ends, a)]] != line[np.concatenate(([0], ends[:-1] + 1))[np.searchsorted(ends, a)]]
+            a, z = a[several], z[several]
+            if not len(a):
+                return
         p = model.probabilities(total[z] - total[a], counts[z] - counts[a])
         best = p.argmax(axis=1)
+        before: dict[str, list[np.ndarray]] = {}
+        if place is not None:
+            for family in {x[0] for x in seen}:
+                spans = np.array(sorted(x[1:] for x in seen if x[0] == family))
+                before[family] = [spans[:, 0], np.maximum.accumulate(spans[:, 1])]
         for i in np.flatnonzero((best != UNKNOWN) & (p.max(axis=1) >= SURE)).tolist():
             lo, hi = max(0, a[i] - WINDOW), z[i] + WINDOW  # a notice may reach beyond the window
-            family, part = FAMILIES[best[i]], h[lo:hi][line[lo:hi] == line[a[i]]]
+            family, part = FAMILIES[best[i]], h[lo:hi][unit[lo:hi] == unit[a[i]]]
             pairs = set((part[:-1] * _PLACE[0] + part[1:] * _PLACE[1]).tolist()) if len(part) > 1 else set(part.tolist())
             share = max(_share(t, pairs) for t in self.templates[family])
             if share >= CONFIRMED:
                 own = found[int(np.searchsorted(begins, line[a[i]], side="right")) - 1]
                 old = own.get(family, (0.0, 0.0, 0))
-                own[family] = (*max(old[:2], (float(p[i, best[i]]), share)), old[2] + 1)
-        return found
+                again = 0
+                if place is None:
+                    seen.append((family, int(a[i]), int(z[i])))
+                elif family in before:
+                    # The last line window that begins before this one ends must end before it begins.
+                    k = int(np.searchsorted(before[family][0], place[z[i] - 1], side="right")) - 1
+                    again = int(k >= 0 and before[family][1][k] > place[a[i]])
+                own[family] = (*max(old[:2], (float(p[i, best[i]]), share)), old[2] + 1 - again)
 
 
 _SCHEMA = "doc_id bigint, family string, probability double, template_share double, n_windows int"
