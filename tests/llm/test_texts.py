@@ -130,3 +130,12 @@ def test_wrapped_licences(spark):
     docs = documents(spark, rows)
     got = {(x.doc_id, x.family): x.n_windows for x in license_scan.scanned(docs, license_scan.train(docs)).collect()}
     assert set(got) == want | {(203, "mit")} and got[203, "mit"] == 1
+
+
+def test_licence_sample_holds_a_repeated_line_once(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "SAMPLE", 40)
+    lines = [f"line {i} of its own" for i in range(60)]
+    one = documents(spark, [(1, "\n".join(lines), "en", "a")])
+    many = documents(spark, [(i, "\n".join([x for k, x in enumerate(lines) for _ in range(1 + 30 * (k % 7 == 0))]) + "\n \n", "en", "a") for i in range(20)] + [(99, None, None, None)])
+    want = license_scan.sample(one)
+    assert len(want) == len(set(want)) == 40 and license_scan.sample(many) == want

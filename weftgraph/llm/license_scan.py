@@ -176,15 +176,22 @@ class Classifier:
         self.heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
 
 
-def train(docs: DataFrame, seed: int = 3) -> Classifier:
-    """From the notices and at most ``SAMPLE`` paragraphs of at most ``SAMPLE_BYTES`` bytes, in the order of their hash."""
+def sample(docs: DataFrame) -> list[str]:
+    """At most ``SAMPLE`` different paragraphs of at most ``SAMPLE_BYTES`` bytes, those with the least hashes.
+
+    A paragraph counts once, however often it is repeated, and the order is of the hashes alone.
+    """
     lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("p"))
-    lines = lines.where((F.octet_length("p") <= SAMPLE_BYTES) & (F.length(F.trim("p")) > 0))
-    # Only as many lines as the sample needs are sorted: a range of hashes that holds about three times as many.
-    hashed = lines.select("p", F.xxhash64("p").alias("h"))
-    part = min(1.0, 3 * SAMPLE / max(1, hashed.count()))
-    hashed = hashed.where(F.pmod(F.col("h"), F.lit(1 << 20)) < part * (1 << 20))
-    texts = [x["p"] for x in hashed.orderBy("h", "p").limit(SAMPLE).collect()]
+    lines = lines.where((F.octet_length("p") <= SAMPLE_BYTES) & (F.length(F.trim("p")) > 0)).select("p", F.xxhash64("p").alias("h"))
+    least = lines.select(F.col("h").alias("s_h")).distinct().orderBy("s_h").limit(SAMPLE)
+    # Texts are fetched for the chosen hashes only.
+    chosen = lines.join(F.broadcast(least), F.col("h") == F.col("s_h")).groupBy("h").agg(F.min("p").alias("p"))
+    return [x["p"] for x in sorted(chosen.collect(), key=lambda x: x["h"])]
+
+
+def train(docs: DataFrame, seed: int = 3) -> Classifier:
+    """From the notices and a bounded sample of unlabelled corpus paragraphs."""
+    texts = sample(docs)
     known = [{name: _pairs(t) for name, t in ((i, x) for i, x in enumerate(v))} for v in TEMPLATES.values()]
     # Paragraphs that hold a notice are not unknown text.
     noise = [t for t in texts if not any(_share(p, _pairs(t)) >= 0.5 for group in known for p in group.values())]
