@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftgraph.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, token_codes, token_count, url_filter
+from weftgraph.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, token_codes, token_count, url_filter
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,8 @@ def op3_line_dedup(spark, sf):
 def op7_license_scan(spark, sf):
     docs = table(spark, sf, "documents")
     return license_scan.scanned(docs, license_scan.train(docs))
+
+
+@register("op13_packing")
+def op13_packing(spark, sf):
+    return packing.packed(table(spark, sf, "documents"))
