@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 
 END = 1
 #: Bytes of text encoded together, and distinct chunks that a worker remembers before it starts anew.
-TEXTS, REMEMBERED = 16 << 20, 1_500_000
+TEXTS, REMEMBERED = 8 << 20, 1_200_000
 #: The rules (normaliser, pre-tokenizer) under which chunks may be encoded apart.
 KNOWN = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},

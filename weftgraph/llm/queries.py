@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftgraph.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, token_codes, token_count, url_filter, whitening
+from weftgraph.llm import conversation_repair, decontaminate, license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, token_codes, token_count, url_filter, whitening
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,8 @@ def op13_packing(spark, sf):
 def op12_whitening(spark, sf):
     white = whitening.whitened(table(spark, sf, "embeddings"))
     return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))  # null beyond a long, as from about 10 million rows on
+
+
+@register("op11_conversation_repair")
+def op11_conversation_repair(spark, sf):
+    return conversation_repair.judged(conversation_repair.damaged(table(spark, sf, "conversations")))
