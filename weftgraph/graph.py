@@ -18,8 +18,16 @@ from weftgraph.sources.store import GraphStore
 class CodeGraph:
     """Nodes and edges with the queries over them; every result is a DataFrame."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, edges_by_target: DataFrame | None = None):
+    def __init__(
+        self,
+        nodes: DataFrame,
+        edges: DataFrame,
+        edges_by_target: DataFrame | None = None,
+        indexes: tuple[list[DataFrame] | None, list[DataFrame] | None] = (None, None),
+    ):
         self.nodes, self.edges = nodes, edges
+        # Stored indexes by start and by target; without them a traversal makes its own.
+        self.forward, self.backward = indexes
         # The same edges, stored in the order that suits backward searches.
         self.edges_by_target = edges if edges_by_target is None else edges_by_target
 
@@ -29,7 +37,8 @@ class CodeGraph:
 
     @classmethod
     def load(cls, store: GraphStore, target: str = "") -> CodeGraph:
-        return cls(*store.load(store.resolve_target(target)))
+        target = store.resolve_target(target)
+        return cls(*store.load(target), store.indexes(target))
 
     def find(self, symbol: str) -> str:
         return search.find_symbol(self.nodes, symbol)
@@ -42,10 +51,10 @@ class CodeGraph:
 
     def impact_of(self, roots: str | Iterable[str] | DataFrame, depth: int = 0) -> DataFrame:
         """Impact of known ids, any number at once."""
-        return traverse.impact(self.nodes, self.edges_by_target, roots, depth)
+        return traverse.impact(self.nodes, self.edges_by_target, roots, depth, self.backward)
 
     def dependencies_of(self, roots: str | Iterable[str] | DataFrame, depth: int = 0) -> DataFrame:
-        return traverse.dependencies(self.nodes, self.edges, roots, depth)
+        return traverse.dependencies(self.nodes, self.edges, roots, depth, self.forward)
 
     def coupling(self, top: int = 10) -> DataFrame:
         return coupling.top_coupled(self.nodes, self.edges, top)
@@ -63,10 +72,10 @@ class CodeGraph:
         return paths.path_steps(flow, self.nodes)
 
     def endpoints_reaching(self, matcher: Column | Callable[[DataFrame], DataFrame], depth: int = 0) -> DataFrame:
-        return traverse.endpoints_reaching(self.nodes, self.edges_by_target, matcher, depth)
+        return traverse.endpoints_reaching(self.nodes, self.edges_by_target, matcher, depth, self.backward)
 
     def expand(self, seeds: Iterable[str] | DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
-        return traverse.expand_subgraph(self.nodes, self.edges, seeds, depth, self.edges_by_target)
+        return traverse.expand_subgraph(self.nodes, self.edges, seeds, depth, self.edges_by_target, self.forward, self.backward)
 
     def seeds(self, question: str, root: str | None = None) -> list[str]:
         """The given root, or the few best lexical matches, best first."""

@@ -1,9 +1,9 @@
 """Breadth-first traversals as loops of joins.
 
-Every round joins the newest level with the edges and drops what earlier levels
-hold.  Levels are written as partitions of one scratch table, so all visited
-rows can be read at any time, a small level is broadcast because its files are
-small, and a large one is shuffled and split by adaptive execution.
+Every round joins the newest level with an index of the edges and drops what
+earlier levels hold.  A small level is broadcast or looked up by value; a large
+one is dealt by the edges' buckets, and neither the edges nor the rows met
+before are moved for it.
 """
 
 from __future__ import annotations
@@ -12,10 +12,9 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from weftgraph.operators.adjacency import LARGE, Levels, met, stored_once
 from weftgraph.operators.model import exclude_defines, incoming, node_or_stub, outgoing
-from weftgraph.session import scratch_path, write_counted
 
 
 def as_roots(spark: SparkSession, roots: str | Iterable[str] | DataFrame) -> DataFrame:
@@ -26,56 +25,59 @@ def as_roots(spark: SparkSession, roots: str | Iterable[str] | DataFrame) -> Dat
     return spark.createDataFrame([(i,) for i in ids], "root string")
 
 
-def bfs(adjacency: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFrame:
+#: Steps that a rank may list before its level is numbered.
+TRAIL = 8
+
+
+def _indexed(adjacency: DataFrame | list[DataFrame], max_depth: int) -> list[DataFrame]:
+    """Parts that are joined one by one; edges that are read more than once are stored first."""
+    if isinstance(adjacency, list):
+        return adjacency
+    return [adjacency] if max_depth == 1 else stored_once(adjacency)
+
+
+def bfs(adjacency: DataFrame | list[DataFrame], roots: DataFrame, max_depth: int = 0) -> DataFrame:
     """Nodes reached from each root: (root, id, distance, via, rank).
 
-    ``adjacency`` is (src, dst, kind, seq).  ``roots`` has a root column and may
-    have id and rank: the nodes each search starts from and their order.
-    ``max_depth`` <= 0 has no bound.  ``via`` is the kind of the edge a queue
-    would have met first: earliest parent in the queue, then earliest edge.
-    Within a distance, rank sorts in queue order: a level is written with the ranks
-    of the edges that reached it, then sorted by them in ranges and numbered, so
-    a row has the same width at every depth and no level meets in one task.
-    """
-    spark = adjacency.sparkSession
-    base, reached = scratch_path(spark, "bfs"), scratch_path(spark, "bfs-reached")
-    level_schema = T.StructType(
-        [
-            T.StructField("root", T.StringType()),
-            T.StructField("id", T.StringType()),
-            T.StructField("via", T.StringType()),
-            T.StructField("rank", T.LongType()),
-        ]
-    )
-    all_levels = T.StructType(level_schema.fields + [T.StructField("distance", T.IntegerType())])
-
-    def visited() -> DataFrame:
-        return spark.read.schema(all_levels).parquet(base)
+    ``adjacency`` is (src, dst, kind, seq), or the parts of an index of them.
+    ``roots`` has a root column and may have id and rank: the nodes each search
+    starts from and their order.  ``max_depth`` <= 0 has no bound.  ``via`` is
+    the kind of the edge a queue would have met first: earliest parent in the
+    queue, then earliest edge.
 
+    Within a distance, rank sorts in queue order.  It is a number and the edges
+    taken since, and a level is sorted (in ranges) and numbered anew when it is
+    large or the list has ``TRAIL`` edges.  So ranks stay narrow at any depth, small
+    levels need no sort and no large level meets in one task.
+    """
     start = roots if "id" in roots.columns else roots.withColumn("id", F.col("root")).withColumn("rank", F.lit(0))
     start = start.groupBy("root", "id").agg(F.min(F.col("rank").cast("long")).alias("rank"))
-    start = start.select("root", "id", F.lit("").alias("via"), "rank")
-    found = write_counted(start, f"{base}/distance=0")
-    depth = 0
-    while found and (max_depth <= 0 or depth < max_depth):
-        frontier = spark.read.schema(level_schema).parquet(f"{base}/distance={depth}")
-        first = (
-            adjacency.join(frontier.select("root", "id", "rank"), F.col("src") == F.col("id"))
-            .groupBy("root", "dst")
-            .agg(F.min(F.struct("rank", "seq", "kind")).alias("f"))
-            .select("root", F.col("dst").alias("id"), F.col("f.kind").alias("via"), F.col("f.rank").alias("from_rank"), "f.seq")
-        )
-        fresh = first.join(visited().select("root", "id"), ["root", "id"], "left_anti")
-        depth += 1
-        found = write_counted(fresh, f"{reached}/{depth}")
-        if found:
-            level = spark.read.schema(fresh.schema).parquet(f"{reached}/{depth}").sort("root", "from_rank", "seq", "id")
-            level.select("root", "id", "via", F.monotonically_increasing_id().alias("rank")).write.parquet(f"{base}/distance={depth}")
-    return visited().select("root", "id", "distance", "via", "rank")
+    parts = _indexed(adjacency, max_depth)
+    spark, trail = parts[0].sparkSession, f"array<struct<seq:{parts[0].schema['seq'].dataType.simpleString()},id:string>>"
+    levels = Levels(spark, "bfs", f"root string, id string, via string, rank long, trail {trail}", ["root", "id"])
+    fresh = start.select("root", "id", F.lit("").alias("via"), "rank", F.array().cast(trail).alias("trail"))
+    depth, before, listed = 0, 0, 0
+    while True:
+        # A level that follows a large one goes straight into the buckets it is partitioned by.
+        found = levels.add(depth, fresh, number=before >= LARGE or listed >= TRAIL, large=before >= LARGE)
+        if not found or 0 < max_depth <= depth:
+            break
+        listed = 0 if before >= LARGE or listed >= TRAIL else listed
+        fresh = next_level(parts, levels, depth, found)
+        depth, before, listed = depth + 1, found, listed + 1
+    return levels.rows().select("root", "id", "distance", "via", F.struct("rank", "trail").alias("rank"))
+
+
+def next_level(parts: list[DataFrame], levels: Levels, depth: int, n: int) -> DataFrame:
+    """(root, id, via, rank, trail) of what the ``n`` rows at ``depth`` meet for the first time."""
+    steps = met(parts, levels.level(depth).select("root", "id", "rank", "trail"), n)
+    first = steps.groupBy("root", F.col("dst").alias("id")).agg(F.min(F.struct("rank", "trail", "seq", "kind")).alias("f"))
+    trail = F.concat("f.trail", F.array(F.struct("f.seq", "id")))
+    return levels.unseen(first.select("root", "id", F.col("f.kind").alias("via"), "f.rank", trail.alias("trail")))
 
 
 def _reachable(
-    nodes: DataFrame, adjacency: DataFrame, roots: str | Iterable[str] | DataFrame, max_depth: int
+    nodes: DataFrame, adjacency: DataFrame | list[DataFrame], roots: str | Iterable[str] | DataFrame, max_depth: int
 ) -> DataFrame:
     hits = bfs(adjacency, as_roots(nodes.sparkSession, roots), max_depth).filter("distance > 0")
     hits = hits.select("root", "id", "distance", "via")
@@ -84,21 +86,29 @@ def _reachable(
 
 
 def impact(
-    nodes: DataFrame, edges: DataFrame, roots: str | Iterable[str] | DataFrame, max_depth: int = 0
+    nodes: DataFrame, edges: DataFrame, roots: str | Iterable[str] | DataFrame, max_depth: int = 0, backward: list[DataFrame] | None = None
 ) -> DataFrame:
-    """Everything that transitively depends on the roots."""
-    return _reachable(nodes, incoming(exclude_defines(edges)), roots, max_depth)
+    """Everything that transitively depends on the roots; ``backward`` is an index of the edges by target."""
+    return _reachable(nodes, _kept(backward) or incoming(exclude_defines(edges)), roots, max_depth)
 
 
 def dependencies(
-    nodes: DataFrame, edges: DataFrame, roots: str | Iterable[str] | DataFrame, max_depth: int = 0
+    nodes: DataFrame, edges: DataFrame, roots: str | Iterable[str] | DataFrame, max_depth: int = 0, forward: list[DataFrame] | None = None
 ) -> DataFrame:
-    """Everything the roots transitively rely on."""
-    return _reachable(nodes, outgoing(exclude_defines(edges)), roots, max_depth)
+    """Everything the roots transitively rely on; ``forward`` is an index of the edges by start."""
+    return _reachable(nodes, _kept(forward) or outgoing(exclude_defines(edges)), roots, max_depth)
+
+
+def _kept(parts: list[DataFrame] | None) -> list[DataFrame] | None:
+    return parts and [p.filter(F.col("kind") != "defines") for p in parts]
 
 
 def reaching(
-    nodes: DataFrame, edges: DataFrame, matcher: Column | Callable[[DataFrame], DataFrame], max_depth: int = 0
+    nodes: DataFrame,
+    edges: DataFrame,
+    matcher: Column | Callable[[DataFrame], DataFrame],
+    max_depth: int = 0,
+    backward: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Ids from which a matched node can be reached along any edge kind.
 
@@ -107,32 +117,23 @@ def reaching(
     filters the node table.
     """
     matched = matcher(nodes) if callable(matcher) and not isinstance(matcher, Column) else nodes.filter(matcher)
-    return _distances(incoming(edges), matched.select("id"), max_depth)
+    return _distances(backward or incoming(edges), matched.select("id"), max_depth)
 
 
-def _distances(adjacency: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
+def _distances(adjacency: DataFrame | list[DataFrame], start: DataFrame, max_depth: int) -> DataFrame:
     """(id, distance): how far every id is from the nearest start row.
 
     Without edge order a level is a plain distinct, which needs no sort.
     """
-    spark = adjacency.sparkSession
-    base = scratch_path(spark, "reach")
-    level = T.StructType([T.StructField("id", T.StringType())])
-    both = T.StructType(level.fields + [T.StructField("distance", T.IntegerType())])
-    found = write_counted(start.select("id").distinct(), f"{base}/distance=0")
-    depth = 0
-    while found and (max_depth <= 0 or depth < max_depth):
-        frontier = spark.read.schema(level).parquet(f"{base}/distance={depth}")
-        visited = spark.read.schema(both).parquet(base).select("id")
-        fresh = (
-            adjacency.join(frontier, F.col("src") == F.col("id"))
-            .select(F.col("dst").alias("id"))
-            .distinct()
-            .join(visited, "id", "left_anti")
-        )
-        depth += 1
-        found = write_counted(fresh, f"{base}/distance={depth}")
-    return spark.read.schema(both).parquet(base)
+    parts = _indexed(adjacency, max_depth)
+    levels = Levels(parts[0].sparkSession, "reach", "id string", ["id"])
+    fresh, before, depth = start.select("id").distinct(), 0, 0
+    while True:
+        found = levels.add(depth, fresh, large=before >= LARGE)
+        if not found or 0 < max_depth <= depth:
+            return levels.rows()
+        steps = met(parts, levels.level(depth), found).select(F.col("dst").alias("id")).distinct()
+        fresh, before, depth = levels.unseen(steps), found, depth + 1
 
 
 def nearest(edges: DataFrame, sources: DataFrame, max_depth: int = 0) -> DataFrame:
@@ -141,10 +142,14 @@ def nearest(edges: DataFrame, sources: DataFrame, max_depth: int = 0) -> DataFra
 
 
 def endpoints_reaching(
-    nodes: DataFrame, edges: DataFrame, matcher: Column | Callable[[DataFrame], DataFrame], max_depth: int = 0
+    nodes: DataFrame,
+    edges: DataFrame,
+    matcher: Column | Callable[[DataFrame], DataFrame],
+    max_depth: int = 0,
+    backward: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Endpoints whose flow meets a matched node, themselves included, by id."""
-    hits = reaching(nodes, edges, matcher, max_depth)
+    hits = reaching(nodes, edges, matcher, max_depth, backward)
     return nodes.filter(F.col("kind") == "endpoint").join(hits.select("id"), "id", "left_semi").orderBy("id")
 
 
@@ -154,10 +159,13 @@ def expand_subgraph(
     seeds: Iterable[str] | DataFrame,
     depth: int = 2,
     edges_by_target: DataFrame | None = None,
+    forward: list[DataFrame] | None = None,
+    backward: list[DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The neighbourhood of the seeds over all edges, both ways: (nodes, edges).
 
-    ``edges_by_target`` are the same edges as stored for backward steps.
+    ``edges_by_target`` are the same edges as stored for backward steps;
+    ``forward`` and ``backward`` are indexes of them by either end.
 
     An edge is listed once for each of its ends that was expanded, so an edge
     inside the neighbourhood appears twice and one between two outermost nodes
@@ -175,8 +183,11 @@ def expand_subgraph(
     def sided(links: DataFrame, side: int) -> DataFrame:
         return links.withColumn("seq", F.struct(F.lit(side).alias("side"), "seq"))
 
-    backward = edges if edges_by_target is None else edges_by_target
-    around = sided(outgoing(edges), 0).unionByName(sided(incoming(backward), 1))
+    by_target = edges if edges_by_target is None else edges_by_target
+    if forward and backward:
+        around = [sided(p, 0) for p in forward] + [sided(p, 1) for p in backward]
+    else:
+        around = sided(outgoing(edges), 0).unionByName(sided(incoming(by_target), 1))
     if depth > 0:
         dist = bfs(around, start, depth).drop("root", "via")
     else:
@@ -186,8 +197,8 @@ def expand_subgraph(
         return members, edges.filter(F.lit(False)).withColumn("place", F.lit(None).cast("string"))
     inner = dist.filter(F.col("distance") < depth)
 
-    def met(edges: DataFrame, end: str, side: int) -> DataFrame:
+    def touched(edges: DataFrame, end: str, side: int) -> DataFrame:
         place = F.struct("distance", "rank", F.lit(side).alias("side"), "seq")
         return edges.join(inner, edges[end] == inner["id"]).select("from_id", "to_id", "kind", "seq", place.alias("place"))
 
-    return members, met(edges, "from_id", 0).unionByName(met(backward, "to_id", 1))
+    return members, touched(edges, "from_id", 0).unionByName(touched(by_target, "to_id", 1))

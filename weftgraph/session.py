@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -45,3 +46,29 @@ def materialize(df: DataFrame, label: str, *folders: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _name(path: str) -> str:
+    return f"weft_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+
+
+def bucketed(df: DataFrame, path: str, buckets: int, keys: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Add ``df`` to the bucketed table at ``path``; joins and groups on ``keys`` then need no exchange of it."""
+    spark, name = df.sparkSession, _name(path)
+    writer = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*order)
+    if by:
+        writer = writer.partitionBy(*by)
+    if not spark.catalog.tableExists(name):
+        writer = writer.option("path", path)
+    writer.mode("append").saveAsTable(name)
+    return spark.table(name)
+
+
+def registered(spark: SparkSession, path: str, schema: T.StructType, buckets: int, keys: list[str], order: list[str]) -> DataFrame:
+    """The bucketed table at ``path``, which another session may have written."""
+    name = _name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        place = path.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)

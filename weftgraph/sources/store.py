@@ -1,6 +1,7 @@
 """Saved graphs: one folder per analysed target, one sub-folder per save.
 
-    <warehouse>/<slug>/<version>/{nodes,edges,edges_by_target}
+    <warehouse>/<slug>/<version>/nodes
+    <warehouse>/<slug>/<version>/{edges,edges_by_target}/{buckets,hubs}
     <warehouse>/<slug>/{log,meta}      small append-only tables
     <warehouse>/last                   the target analysed last
 
@@ -13,12 +14,15 @@ from __future__ import annotations
 import hashlib
 import time
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.schema import EDGES, NODES
+from weftgraph.operators.adjacency import stored, write_index
+from weftgraph.operators.model import incoming, outgoing
+from weftgraph.schema import ADJACENCY, EDGES, NODES
 
 
 class GraphNotFound(LookupError):
@@ -51,31 +55,44 @@ class GraphStore:
     def save(self, target: str, nodes: DataFrame, edges: DataFrame) -> str:
         """Write a full new version of the target's graph.
 
-        Edges are stored sorted by either end: a traversal that starts from few
-        ids then reads few row groups in both directions.
+        Edges are stored as two indexes, by either end: a traversal of few ids reads
+        their buckets only, and one of many joins without moving the edges.
         """
         version = uuid.uuid4().hex
         base = f"{self.path(target)}/{version}"
         nodes.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{base}/nodes")
-        edges.repartitionByRange("from_id", "to_id").sortWithinPartitions("from_id", "to_id").write.parquet(f"{base}/edges")
-        edges.repartitionByRange("to_id", "from_id").sortWithinPartitions("to_id", "from_id").write.parquet(
-            f"{base}/edges_by_target"
-        )
-        self._append(f"{self.path(target)}/log", "version", version)
+        kept = edges.select("from_id", "to_id", "kind", "seq")
+        layouts = write_index(outgoing(kept), f"{base}/edges"), write_index(incoming(kept), f"{base}/edges_by_target")
+        self._append(f"{self.path(target)}/log", "version", "/".join((version, *layouts)))
         return version
 
     def load(self, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(nodes, edges, edges sorted by target) of the latest version.
+        """(nodes, edges, edges by target) of the latest version.
 
         A version written before nodes had a qualified name reads as "".
         """
+        base, layouts = self._version(target)
+        nodes = self.spark.read.schema(NODES).parquet(f"{base}/nodes").fillna("", subset=["qualified", "signature", "doc_comment"])
+        if not layouts:  # a version from before there were indexes
+            edges = self.spark.read.schema(EDGES)
+            return nodes, edges.parquet(f"{base}/edges"), edges.parquet(f"{base}/edges_by_target")
+        forward, backward = self.indexes(target)
+        ends = [F.col("src").alias("from_id"), F.col("dst").alias("to_id")], [F.col("dst").alias("from_id"), F.col("src").alias("to_id")]
+        return nodes, *(reduce(DataFrame.unionByName, (p.select(*end, "kind", "seq") for p in parts)) for parts, end in zip((forward, backward), ends))
+
+    def indexes(self, target: str) -> tuple[list[DataFrame], list[DataFrame]] | tuple[None, None]:
+        """Indexes of the latest version's edges by start and by target; none in an older store."""
+        base, layouts = self._version(target)
+        if not layouts:
+            return None, None
+        return tuple(stored(self.spark, f"{base}/{name}", layout, ADJACENCY) for name, layout in zip(("edges", "edges_by_target"), layouts))
+
+    def _version(self, target: str) -> tuple[str, list[str]]:
         version = self._latest(f"{self.path(target)}/log", "version")
         if version is None:
             raise GraphNotFound(f"no graph found for {target!r} — run analyze on it first")
-        base = f"{self.path(target)}/{version}"
-        nodes = self.spark.read.schema(NODES).parquet(f"{base}/nodes").fillna("", subset=["qualified", "signature", "doc_comment"])
-        edges = self.spark.read.schema(EDGES)
-        return nodes, edges.parquet(f"{base}/edges"), edges.parquet(f"{base}/edges_by_target")
+        version, *layouts = version.split("/")
+        return f"{self.path(target)}/{version}", layouts
 
     def set_meta(self, target: str, key: str, value: str) -> None:
         self._append(f"{self.path(target)}/meta", key, value)
