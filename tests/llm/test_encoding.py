@@ -58,3 +58,22 @@ def test_other_tokenizer_files_get_whole_texts():
 def test_nothing():
     ids, at = encoding.Encoder(PATH).ids([])
     assert len(ids) == 0 and at.tolist() == [0]
+
+
+def test_words_in_two_patterns_have_different_hashes():
+    from weftgraph.llm.words import hashed
+
+    pairs = [thue_morse(n, a, b) for n in (1024, 4096, 1 << 16) for a, b in ("ab", "ba", ".,", ",.")]
+    h, at = hashed([w.encode() for w in pairs])
+    assert len(set(h.tolist())) == len(pairs) and at.tolist() == list(range(len(pairs) + 1))
+
+
+def test_piece_counts_of_long_words_in_two_patterns():
+    from weftgraph.llm import token_count
+
+    entries = token_count.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    for n in (1024, 4096):
+        both = [thue_morse(n, "a", "r").encode(), thue_morse(n, "r", "a").encode()]
+        _, pieces, score = token_count.Counter(entries).texts(both)
+        alone = [token_count.Counter(entries).texts([t]) for t in both]
+        assert (pieces.tolist(), score.tolist()) == ([a[1][0] for a in alone], [a[2][0] for a in alone])

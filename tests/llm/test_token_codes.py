@@ -1,4 +1,3 @@
-import random
 import zlib
 
 import numpy as np
@@ -28,16 +27,6 @@ def test_several_levels_are_used():
     assert len(token_codes.Codes(token_codes.encode(ids)).levels) > 1
 
 
-def test_chunks_encode_like_whole_texts():
-    r, encoder, plain = random.Random(4), token_codes.Encoder(PATH), Tokenizer.from_file(PATH)
-    abc = "aAbBsStTxX.,!?;:'<|> \n\t\x0b\x1c0éÉ́ßİ—«» \u0085　H̱"
-    texts = ["".join(r.choice(abc) for _ in range(r.randint(0, 50))) for _ in range(800)]
-    texts += ["a<|endoftext|>b", "<|StartOfText|>.", "don't. WE'LL, 's."] + [t or "" for _, t, *_ in ODD]
-    ids, at = encoder.ids([t.encode() for t in texts])
-    for i, t in enumerate(texts):
-        assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [token_codes.END], t
-
-
 def expected(rows):
     plain, out, start = Tokenizer.from_file(PATH), [], 0
     for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):

@@ -12,9 +12,8 @@ ranges of ids and written in order; a document's place among all tokens is the
 sum of what lies before its segment, found from one narrow row per segment.
 Spark's own commit protocol makes the files safe against retries.
 
-Texts are encoded by white-space chunks: the tokenizer drops white space and no
-token or normalisation spans it, so the ids of a text are those of its chunks,
-and each distinct chunk is encoded once per block.
+Texts are encoded as ``encoding`` says: the same ids as for whole texts, each
+distinct chunk encoded once per worker.
 
 Defined cases: null text counts as empty; an empty text has the end id alone;
 rows that repeat an id are written one after the other in the order of their
@@ -23,9 +22,7 @@ texts' hashes; null ids come first; an empty table gives no segments.
 
 from __future__ import annotations
 
-import os
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import binary_of
-from weftgraph.llm.words import blocks, hash_spans, joined, lowered, spans
+from weftgraph.llm.encoding import encoder, text_blocks
 from weftgraph.session import materialize, scratch_path
 
-END = 1
-#: Tokens of a segment, bytes of text encoded together, chunks that a worker remembers.
-SEGMENT, TEXTS, REMEMBERED = 1 << 20, 8 << 20, 3_000_000
+#: Tokens of a segment.
+SEGMENT = 1 << 20
 _BLOCK = 512
 
 
@@ -140,108 +136,6 @@ class Codes:
 # --- tokens ---------------------------------------------------------------------------------
 
 
-_CLOSING = np.zeros(256, dtype=bool)
-_CLOSING[list(b".,!?;:")] = True
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-
-
-def _chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buffer, starts, ends, chunks before each text): white-space chunks in parts that encode alike.
-
-    Closing marks after an ASCII letter are parts of their own, as no pattern of
-    the tokenizer spans the two, and plain ASCII chunks are lowered, as it does.
-    Chunks with ``<`` stay whole: they may hold the name of a special token.
-    """
-    buf, place = joined(texts)
-    starts, ends = spans(buf)
-    if not len(starts):
-        return buf, starts, ends, np.zeros(len(place), dtype=np.int64)
-    special = np.logical_or.reduceat(buf == 60, starts)
-    plain = ~(np.logical_or.reduceat(buf >= 128, starts) | special)
-    low = lowered(buf)
-    keep = np.repeat(np.concatenate(([False], ~plain)), np.diff(np.concatenate(([0], starts, [len(buf)]))))
-    buf = np.where(keep, buf, low)
-    cut = ends.copy()
-    on = np.flatnonzero(~special)
-    while len(on):  # one step for every closing mark
-        on = on[(cut[on] > starts[on]) & _CLOSING[buf[cut[on] - 1]]]
-        cut[on] -= 1
-    apart = (cut < ends) & (cut > starts) & _LETTER[buf[np.maximum(cut, 1) - 1]]
-    after = np.flatnonzero(apart)
-    n = len(starts) + len(after)
-    two_starts, two_ends = np.insert(starts, after + 1, cut[after]), np.insert(np.where(apart, cut, ends), after + 1, ends[after])
-    assert len(two_starts) == n
-    return buf, two_starts, two_ends, np.searchsorted(two_starts, place)
-
-
-class Encoder:
-    """Token ids of many texts by a tokenizer file that drops white space and lowers case.
-
-    Chunks are known by a 64-bit hash; the ids of known ones lie in flat arrays
-    sorted by it, so a block costs array passes and the tokenizer sees each new
-    chunk once.  Beyond ``REMEMBERED`` chunks it starts anew.
-    """
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.names, self.first, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint32)
-
-    def _learn(self, names: np.ndarray, chunks: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        flat = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(size.sum()))
-        first = np.cumsum(size) - size + len(self.flat)
-        at = np.searchsorted(self.names, names)
-        self.names, self.first, self.size = np.insert(self.names, at, names), np.insert(self.first, at, first), np.insert(self.size, at, size)
-        self.flat = np.concatenate((self.flat, flat))
-
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, places where each text begins, and the end); every text closes with END."""
-        parts, counts = [], []
-        for a, b in blocks(texts):
-            buf, starts, ends, at = _chunks(texts[a:b])
-            parts.append((buf, starts, ends, hash_spans(buf, starts, ends)))
-            counts.append(np.diff(at))
-        if not texts:
-            return np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
-        names, one, which = np.unique(np.concatenate([p[3] for p in parts]), return_index=True, return_inverse=True)
-        if len(self.names) + len(names) > REMEMBERED:
-            self._forget()
-        at = np.searchsorted(self.names, names)
-        new = np.flatnonzero(~(np.append(self.names, np.uint64(0))[at] == names) | (at == len(self.names)))
-        if len(new):
-            block = np.searchsorted(np.cumsum([len(p[1]) for p in parts]), one[new], side="right")
-            base = np.concatenate(([0], np.cumsum([len(p[1]) for p in parts])))
-            texts_of = [p[0].tobytes() for p in parts]
-            chunks = []
-            for k, i in zip(block.tolist(), one[new].tolist()):
-                i -= int(base[k])
-                chunks.append(texts_of[k][parts[k][1][i] : parts[k][2][i]].decode())
-            self._learn(names[new], chunks)
-            at = np.searchsorted(self.names, names)
-        # An END after the words of each text.
-        ends = np.cumsum(np.concatenate(counts))
-        size, first = np.append(self.size[at], 1), np.append(self.first[at], len(self.flat))
-        flat = np.append(self.flat, np.uint32(END))
-        which = np.insert(which, ends, len(names))
-        n = size[which]
-        upto = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(first[which] - upto[:-1], n) + np.arange(upto[-1])]
-        return ids, np.concatenate(([0], upto[ends + np.arange(1, len(ends) + 1)]))
-
-
-_encoders: dict[str, Encoder] = {}
-
 _SEGMENTS = "part int, seq int, n_docs bigint, n_tokens bigint, doc_ids binary, no_ids binary, ends binary, codes binary"
 
 
@@ -254,15 +148,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     def run(batches):
         from pyspark import TaskContext
 
-        if tokenizer not in _encoders:
-            if os.sep in tokenizer:
-                found = tokenizer
-            else:
-                import public_tokenizers
-
-                found = public_tokenizers.path(tokenizer)
-            _encoders[tokenizer] = Encoder(str(found))
-        encoder, part, seq = _encoders[tokenizer], TaskContext.get().partitionId(), 0
+        codes_of, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids, ends, docs_in, held = [], [], [], 0
 
         def segment():
@@ -275,13 +161,8 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
 
         for b in batches:
             numbers, texts = b.column(0).to_pylist(), b.column(1)
-            lo, size = 0, 0
-            sizes = [len(t.as_buffer()) for t in texts]
-            for hi in range(1, len(texts) + 1):
-                size += sizes[hi - 1]
-                if size < TEXTS and hi < len(texts):
-                    continue
-                got, at = encoder.ids(texts[lo:hi].to_pylist())
+            for lo, hi in text_blocks(texts):
+                got, at = codes_of.ids(texts.slice(lo, hi - lo))
                 n, first = np.diff(at), 0
                 while first < len(n):  # whole documents up to the size of a segment
                     room = np.searchsorted(at[first + 1 :] - at[first], SEGMENT - held, side="right")
@@ -295,7 +176,6 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
                         yield segment()
                         seq, ids, ends, docs_in, held = seq + 1, [], [], [], 0
                     first = upto
-                lo, size = hi, 0
         if docs_in:
             yield segment()
 

@@ -8,15 +8,18 @@ entry of its own length covers may be unknown, at 10 below the least score, and
 counts as its UTF-8 bytes; sums are 64-bit floats in order of the text.
 
 A text gets a blank in front unless it has one, and is cut before every blank,
-so chunks are independent: each distinct chunk is counted once per block and
-remembered by a 64-bit hash.  Rows are never shuffled.
+so chunks are independent: Arrow finds the distinct chunks of a block by their
+bytes, and each is counted once per worker.  Rows are never shuffled.
 
 Defined cases: null text counts as empty; an empty text has no pieces and score
-0; a text of any length costs memory in proportion to its own size.
+0; repeated rows are counted row by row; an empty table has no rows; extra
+columns are ignored; a text of any length costs memory in proportion to its own size.
 """
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import binary_of
-from weftgraph.llm.words import blocks, hash_spans
 
 #: Bytes of text counted together, chunks that a worker remembers.
-TEXTS, REMEMBERED = 8 << 20, 3_000_000
+TEXTS, REMEMBERED = 8 << 20, 1_500_000
 UNKNOWN = 10.0
 MARK = "▁"
 
@@ -48,7 +50,11 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in entries) - UNKNOWN
-        self.names, self.counts, self.scores = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.counts, self.scores = np.zeros(0, dtype=np.int64), np.zeros(0)
 
     def chunk(self, text: str) -> tuple[int, float]:
         """Pieces and score of the best segmentation."""
@@ -78,43 +84,34 @@ class Counter:
         if score[end] is None or now > score[end]:
             score[end], count[end] = now, count[end - 1] + len(text[end - 1].encode())
 
-    def _learn(self, names: np.ndarray, chunks: list[str]) -> None:
-        got = [self.chunk(c) for c in chunks]
-        at = np.searchsorted(self.names, names)
-        self.names = np.insert(self.names, at, names)
-        self.counts = np.insert(self.counts, at, [c for c, _ in got])
-        self.scores = np.insert(self.scores, at, [s for _, s in got])
+    def _learn(self, chunks: list[bytes]) -> None:
+        got = [self.chunk(MARK + c[1:].decode()) for c in chunks]
+        self.known.update(zip(chunks, range(len(self.counts), len(self.counts) + len(chunks))))
+        self.counts = np.append(self.counts, [c for c, _ in got])
+        self.scores = np.append(self.scores, [s for _, s in got])
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunks, pieces and score of each text."""
         mark = MARK.encode()
         texts = [t.replace(mark, b" ") for t in texts]
         texts = [t if t[:1] == b" " or not t else b" " + t for t in texts]
-        parts, per_text = [], []
-        for a, b in blocks(texts):
-            buf = np.frombuffer(b"".join(texts[a:b]), dtype=np.uint8)
-            starts = np.flatnonzero(buf == 32)
-            ends = np.append(starts[1:], len(buf)) if len(starts) else starts
-            place = np.cumsum(np.array([0] + [len(t) for t in texts[a:b]]))
-            parts.append((buf, starts, ends, hash_spans(buf, starts, ends) if len(buf) else np.zeros(0, dtype=np.uint64)))
-            per_text.append(np.diff(np.searchsorted(starts, place)))
-        if not texts:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-        names, one, which = np.unique(np.concatenate([p[3] for p in parts]), return_index=True, return_inverse=True)
-        if len(self.names) + len(names) > REMEMBERED:
-            self.names, self.counts, self.scores = self.names[:0], self.counts[:0], self.scores[:0]
-        at = np.searchsorted(self.names, names)
-        new = np.flatnonzero((at == len(self.names)) | (np.append(self.names, np.uint64(0))[at] != names))
+        data = b"".join(texts)
+        if not data:
+            return np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+        # A chunk is a blank and what follows it, so chunks lie next to each other.
+        starts = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        chunks = found.dictionary.to_pylist()
+        if len(self.known) + len(chunks) > REMEMBERED:
+            self._forget()
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        new = np.flatnonzero(at < 0)
         if len(new):
-            upto = np.cumsum([len(p[1]) for p in parts])
-            base = np.concatenate(([0], upto))
-            raw, chunks = [p[0].tobytes() for p in parts], []
-            for k, i in zip(np.searchsorted(upto, one[new], side="right").tolist(), one[new].tolist()):
-                i -= int(base[k])
-                chunks.append(MARK + raw[k][parts[k][1][i] + 1 : parts[k][2][i]].decode())
-            self._learn(names[new], chunks)
-            at = np.searchsorted(self.names, names)
-        n = np.concatenate(per_text)
+            at[new] = np.arange(len(self.counts), len(self.counts) + len(new))
+            self._learn([chunks[i] for i in new.tolist()])
+        which = found.indices.to_numpy()
+        n = np.diff(np.searchsorted(starts, np.cumsum([0] + [len(t) for t in texts])))
         ends = np.cumsum(n)
         count = np.concatenate(([0], np.cumsum(self.counts[at][which])))
         # Scores of chunks are added text by text, in order.
