@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.substrings import contained
+from weftgraph.session import materialize
+
 MIN_WORD_BYTES = 3
 SEED_COUNT = 5
 
@@ -68,6 +71,32 @@ def lexical_scores(nodes: DataFrame, question: str) -> DataFrame:
     return nodes.select("id", F.size(hits).alias("score")).filter("score > 0")
 
 
+def lexical_scores_of_each(nodes: DataFrame, questions: DataFrame) -> DataFrame:
+    """(question_id, id, score) of many questions (question_id, question) at once; the score is that of one question.
+
+    Which words and names contain one another is found once per different word and
+    name, by an index of their n-grams in either direction.
+    """
+    words = F.filter(F.split(F.lower("question"), r"\s+"), lambda w: F.octet_length(w) >= MIN_WORD_BYTES)
+    asked = materialize(
+        questions.select("question_id", F.explode(words).alias("word")).groupBy("question_id", "word").agg(F.count(F.lit(1)).alias("times")), "question-words"
+    )
+    named = materialize(nodes.select("id", F.lower("name").alias("name")).where("name IS NOT NULL"), "names")
+    inside = contained(asked.select("word"), named.select("name")).toDF("word", "name")
+    around = contained(named.select("name"), asked.select("word")).toDF("name", "word").select("word", "name")
+    pairs = materialize(inside.union(around).distinct(), "word-names")
+    # A word that is in many names, or a name with many nodes, is split by adaptive execution.
+    hits = asked.join(pairs, "word").groupBy("question_id", "name").agg(F.sum("times").alias("score"))
+    return hits.join(named, "name").groupBy("question_id", "id").agg(F.sum("score").cast("int").alias("score"))
+
+
+def lexical_match_of_each(nodes: DataFrame, questions: DataFrame, limit: int = SEED_COUNT) -> DataFrame:
+    """The best-scoring ids of each question, ties by id."""
+    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
+    ranked = lexical_scores_of_each(nodes, questions).withColumn("place", F.row_number().over(best))
+    return ranked.where(F.col("place") <= limit)
+
+
 def lexical_match(nodes: DataFrame, question: str, limit: int = SEED_COUNT) -> DataFrame:
     """The best-scoring ids, ties by id."""
     return lexical_scores(nodes, question).orderBy(F.desc("score"), "id").limit(limit)

@@ -11,10 +11,10 @@ from weftgraph import ask
 from weftgraph.extract import csharp, go, python, typescript
 from weftgraph.extract.analyze import analyze_files
 from weftgraph.functions import answers, render, text
-from weftgraph.operators import coupling, lenses, model, paths, resolve, search, traverse
+from weftgraph.operators import coupling, lenses, model, paths, reach_sets, resolve, search, traverse
 from weftgraph.plans import code, star
 from weftgraph.plans import star_sql as S
-from weftgraph.streaming import deltas
+from weftgraph.streaming import deltas, reassembly
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -251,6 +251,28 @@ def endpoints_reaching_depth1(spark, sf):
     return traverse.endpoints_reaching(*_graph(spark, sf), matcher, max_depth=1).select("id", "name")
 
 
+@register(
+    "endpoints_reaching_each_brand",
+    f"""WITH RECURSIVE {S.NODES}, {S.EDGES}, e AS (SELECT DISTINCT from_id, to_id FROM edges), back AS (
+      SELECT file AS matcher, id FROM nodes WHERE kind = 'type'
+      UNION SELECT b.matcher, e.from_id FROM back b JOIN e ON e.to_id = b.id)
+    SELECT b.matcher AS brand, n.id AS id FROM back b JOIN nodes n USING (id) WHERE n.kind = 'endpoint'""",
+)
+def endpoints_reaching_each_brand(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    brands = nodes.filter("kind = 'type'").select(F.col("file").alias("matcher"), "id")
+    hits = reach_sets.reaching_each(edges, brands)
+    endpoints = nodes.filter("kind = 'endpoint'").select("id")
+    return hits.join(endpoints, "id", "left_semi").select(F.col("matcher").alias("brand"), "id")
+
+
+@register("queue_order_via", star.QUEUE_SQL)
+def queue_order_via(spark, sf):
+    """Suppliers, parts and brands are met over edges of several kinds; only the order of a queue decides which counts."""
+    nodes, edges = _graph(spark, sf)
+    return _hits(traverse.dependencies(nodes, star.queue_edges(spark, sf), "market"))
+
+
 _AROUND = f"""WITH RECURSIVE {S.NODES}, {S.EDGES},
  pairs AS (SELECT DISTINCT from_id AS a, to_id AS b FROM edges UNION SELECT DISTINCT to_id, from_id FROM edges),
  walk AS (SELECT unnest(['supplier::3', 'customer::5']) AS id, 0 AS d
@@ -410,6 +432,30 @@ def lexical_match(spark, sf):
     return search.lexical_match(star.nodes(spark, sf), _QUESTION)
 
 
+_ASKED = "text || ' supplier#' || lpad(CAST(conv_id % 100 + 1 AS VARCHAR), 9, '0') || '? red ' || CAST(turn AS VARCHAR) || 'X'"
+
+
+@register(
+    "lexical_match_of_each_turn",
+    f"""WITH {S.NODES}, asked AS (SELECT conv_id * 1000 + turn AS question_id, lower({_ASKED}) AS q FROM conversations),
+    words AS (SELECT question_id, w, count(*) AS times FROM (SELECT question_id, unnest(regexp_split_to_array(q, '[ \\t\\n\\v\\f\\r]+')) AS w FROM asked)
+      WHERE strlen(w) >= 3 GROUP BY ALL),
+    names AS (SELECT DISTINCT lower(name) AS name FROM nodes WHERE kind IN ('class', 'type', 'interface')),
+    pairs AS (SELECT w, name FROM (SELECT DISTINCT w FROM words) JOIN names ON contains(name, w) OR contains(w, name)),
+    hits AS (SELECT question_id, id, CAST(sum(times) AS INTEGER) AS score FROM words JOIN pairs USING (w)
+      JOIN nodes ON lower(nodes.name) = pairs.name AND kind IN ('class', 'type', 'interface') GROUP BY ALL)
+    SELECT question_id, id, score, CAST(place AS INTEGER) AS place FROM
+      (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS place FROM hits) WHERE place <= 5""",
+)
+def lexical_match_of_each_turn(spark, sf):
+    """Every turn as a question, all at once."""
+    turns = star.table(spark, sf, "conversations")
+    asked = F.concat("text", F.lit(" supplier#"), F.lpad((F.col("conv_id") % 100 + 1).cast("string"), 9, "0"), F.lit("? red "), F.col("turn").cast("string"), F.lit("X"))
+    questions = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), asked.alias("question"))
+    nodes = star.nodes(spark, sf).filter("kind IN ('class', 'type', 'interface')")
+    return search.lexical_match_of_each(nodes, questions).select("question_id", "id", "score", "place")
+
+
 # --- resolution --------------------------------------------------------------------------
 
 _BAG = """bag AS (SELECT name, id, count(*) AS c FROM names GROUP BY ALL)"""
@@ -727,6 +773,25 @@ def stream_full_text(spark, sf):
     return deltas.full_text(sse_content_blocks(spark, sf))
 
 
+@register(
+    "stream_lines_of_fragments",
+    """SELECT CAST(conv_id AS VARCHAR) AS stream_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS line_no, regexp_replace(line, '\\r$', '') AS line
+       FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)""",
+)
+def stream_lines_of_fragments(spark, sf):
+    """Each conversation as a stream of 37-byte fragments, cut inside lines and characters."""
+    turns = star.table(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.lit("\n")).cast("binary").alias("body"))
+    size = F.ceil(F.octet_length("body") / 37)
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    placed = turns.withColumn("first", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    cut = placed.select("conv_id", "first", "body", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
+    fragments = cut.select(
+        F.col("conv_id").alias("stream_id"), (F.col("first") + F.col("i")).alias("fragment_no"),
+        F.substring("body", (F.col("i") * 37 + 1).cast("int"), F.lit(37)).alias("data"), F.lit(False).alias("last"),
+    )
+    return reassembly.lines(fragments)
+
+
 # --- extraction from source text ---------------------------------------------------------
 
 

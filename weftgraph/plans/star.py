@@ -77,6 +77,35 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def queue_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A market's suppliers in an order that is not that of their ids, what they sold, and the brands of that.
+
+    The kind of an edge changes from row to row, so parts and brands are met over several kinds.
+    """
+    kind = lambda c: F.element_at(F.array(*[F.lit(k) for k in ("calls", "imports", "references")]), (F.col(c) % 3 + 1).cast("int"))
+    mixed = lambda c: F.col(c) * 7919 % 100003
+
+    def rows(name: str, start: Column, end: Column, kind: Column, ord_: Column) -> DataFrame:
+        seq = F.struct(F.lit(3).alias("phase"), F.lit(name).alias("file_key"), F.lit(0).cast("long").alias("sym_ord"), F.lit(0).cast("long").alias("line"), F.lit(0).alias("is_create"), ord_.cast("long").alias("ord"))
+        return table(spark, sf_dir, name).select(start.alias("from_id"), end.alias("to_id"), kind.alias("kind"), seq.alias("seq"))
+
+    parts = [
+        rows("supplier", F.lit("market"), _id("supplier", "s_suppkey"), F.lit("calls"), mixed("s_suppkey")),
+        rows("lineitem", _id("supplier", "l_suppkey"), _id("part", "l_partkey"), kind("l_linenumber"), mixed("l_orderkey") * 10 + F.col("l_linenumber")),
+        rows("part", _id("part", "p_partkey"), F.concat(F.lit("brand::"), "p_brand"), kind("p_size"), F.col("p_partkey")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_KIND = "(['calls', 'imports', 'references'])[{} % 3 + 1]"
+QUEUE_SQL = f"""WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey * 7919 % 100003, s_suppkey) AS r FROM supplier),
+  p AS (SELECT l_partkey, min(struct_pack(r := r, o := l_orderkey * 7919 % 100003 * 10 + l_linenumber, k := {_KIND.format('l_linenumber')})) AS f
+    FROM lineitem JOIN s ON s_suppkey = l_suppkey GROUP BY l_partkey),
+  b AS (SELECT p_brand, arg_min({_KIND.format('p_size')}, struct_pack(r := f.r, o := f.o, i := 'part::' || p_partkey)) AS via FROM part JOIN p ON p_partkey = l_partkey GROUP BY p_brand)
+  SELECT 'supplier::' || s_suppkey AS id, 1 AS distance, 'calls' AS via FROM s
+  UNION ALL SELECT 'part::' || l_partkey, 2, f.k FROM p UNION ALL SELECT 'brand::' || p_brand, 3, via FROM b"""
+
+
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cyclic graph: users call event types; low-valued events refer back to their user."""
     events = table(spark, sf_dir, "events")
