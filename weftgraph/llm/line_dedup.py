@@ -6,8 +6,9 @@ a line are divided by the host's pages; lines above ``RATIO`` on at least
 
 The markup is read once and its lines are written to the scratch folder.  Lines
 are counted by a 128-bit hash with map-side sums, so neither a large site nor a
-very common line gathers in one task; what comes back to a page is the list of
-its own dropped lines.
+very common line gathers in one task.  What comes back to a page are the places
+of its own dropped lines, in order; the lines between them are cut out as
+slices, so a page costs in proportion to its lines.
 
 Defined cases: null or empty html has no lines and counts as a page; a null url
 or one without ``://`` belongs to the empty host; a line that a page repeats
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.url_filter import host
 from weftgraph.session import materialize
 
-RATIO, LEAST = 0.2, 3
+RATIO, LEAST = 0.2, 2
 #: What has no text, what ends a line, and what else is markup.
 NO_TEXT = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
 BREAK = r"(?is)</?(?:p|div|h[1-6]|li|ul|ol|br|hr|tr|td|th|table|article|section|nav|header|footer|main|title|body|head|html|form|blockquote|pre)\b[^>]*>"
@@ -52,20 +53,32 @@ def lines(html: Column) -> Column:
 
 
 def _hash(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2"))
+    # As a string, which array_distinct keeps in a hash set.
+    return F.concat(F.hex(F.xxhash64(line)), F.lit("-"), F.hex(F.xxhash64(F.lit(7), line)))
+
+
+def _between(lines: Column, places: Column) -> Column:
+    """The lines without those at ``places``, which ascend from zero."""
+
+    def part(j: Column) -> Column:
+        first = F.when(j == 0, 1).otherwise(F.get(places, j - 1) + 2)
+        end = F.when(j == F.size(places), F.size(lines)).otherwise(F.get(places, j))
+        return F.slice(lines, first, end - first + 1)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), part))
 
 
 def deduped(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """page_id, host, n_lines, n_kept and text (the kept lines) of every row."""
     cut = pages.select("page_id", F.xxhash64("url", "html").alias("k_hash"), host(F.col("url")).alias("host"), lines(F.col("html")).alias("lines"))
     cut = materialize(cut, "lines")
-    each = cut.select("page_id", "k_hash", "host", F.explode(F.array_distinct(F.transform("lines", _hash))).alias("h"))
+    each = cut.select("host", F.explode(F.array_distinct(F.transform("lines", _hash))).alias("h"))
     total = cut.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     bad = counts.join(total, "host").where(F.col("n") > ratio * F.col("pages")).select("host", "h")
-    hit = each.join(bad, ["host", "h"], "left_semi")
-    gone = hit.groupBy(F.col("page_id").alias("g_id"), F.col("k_hash").alias("g_hash")).agg(F.collect_set("h").alias("dropped"))
+    places = cut.select(F.col("page_id").alias("g_id"), F.col("k_hash").alias("g_hash"), "host", F.posexplode(F.transform("lines", _hash)).alias("at", "h"))
+    hit = places.join(bad, ["host", "h"], "left_semi")
+    gone = hit.groupBy("g_id", "g_hash").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
     out = cut.join(gone, (cut["k_hash"] == gone["g_hash"]) & cut["page_id"].eqNullSafe(gone["g_id"]), "left")
-    kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("dropped", _hash(x))))
-    out = out.withColumn("kept", kept)
+    out = out.withColumn("kept", F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(_between(F.col("lines"), F.col("dropped"))))
     return out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), F.size("kept").cast("long").alias("n_kept"), F.array_join("kept", "\n").alias("text"))
