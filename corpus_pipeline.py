@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame, which is written as Parquet and read again for the
 next one.  All stages but the last return the columns of ``documents``.
+
+Defined cases, for every stage: a null text is an empty one; a null language or
+source is a value like others, and so is a null id, but the join compares rows
+without an id by their whole text only; repeated rows are rows of their own, of
+which the join keeps one; texts of any length are taken whole; ties go to the
+least id; extra columns, whatever their names, are carried along; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
