@@ -928,7 +928,7 @@ def extract_ts_refs(spark, sf):
 @register(
     "extract_page_scripts",
     """SELECT 'pages/p' || page_id || '.js' AS path, 'page' || page_id AS qualified, 'call' AS ref_kind,
-       unnest(list_distinct(regexp_extract_all(regexp_extract(html, '<script[^>]*>(.*?)</script>', 1), '(\\w+)\\(', 1))) AS name,
+       unnest(list_distinct(regexp_extract_all(array_to_string(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), chr(10)), '(\\w+)\\(', 1))) AS name,
        '' AS receiver_type, '' AS receiver_var, 1 AS line FROM pages""",
 )
 def extract_page_scripts(spark, sf):
