@@ -915,6 +915,8 @@ def extract_ts_symbols(spark, sf):
             (f"{_CUSTOMER} || '.check'", "call", "'g'", "''", "''", 9),
             (f"{_CUSTOMER} || '.check'", "call", "'save'", "''", "''", 10),
             (f"{_CUSTOMER} || '.check'", "call", "'audit'", "''", "''", 11),
+            (f"{_CUSTOMER} || '.check'", "call", "'deep'", "''", "''", 11),
+            (f"{_CUSTOMER} || '.check'", "call", "'low'", "''", "''", 11),
             (f"{_CUSTOMER} || '.''quoted'''", "call", "'q'", "''", "''", 13),
             (_POST, "call", "'post'", "''", "''", 15),
             (_POST, "call", "'pay'", "''", "''", 16),
@@ -971,6 +973,7 @@ def extract_cs_symbols(spark, sf):
             (f"{_CONTROLLER} || '.Get'", "call", "'Log'", "''", "''", 16),
             (f"{_CONTROLLER} || '.Get'", "call", "'Fmt'", "''", "''", 16),
             (f"{_CONTROLLER} || '.Get'", "call", "'X'", "''", "''", 16),
+            (f"{_CONTROLLER} || '.Get'", "call", "'Low'", "''", "''", 16),
             (f"{_CONTROLLER} || '.Get'", "call", "'Load'", "'Nation' || s_nationkey", "''", 17),
             (_GET, "call", f"{_CONTROLLER} || '.Get'", "''", "''", 11),
         ],
@@ -1017,6 +1020,8 @@ def extract_py_symbols(spark, sf):
             (f"{_ORDER} || '.ship'", "call", "'check'", _ORDER, "''", 12),
             (f"{_ORDER} || '.ship'", "call", "'send'", "''", "'helper'", 12),
             (f"{_ORDER} || '.ship'", "call", "'label'", "''", "''", 12),
+            (f"{_ORDER} || '.ship'", "call", "'deep'", "''", "''", 12),
+            (f"{_ORDER} || '.ship'", "call", "'low'", "''", "''", 12),
             (f"{_ORDER} || '.ship'", "call", "'fits'", "''", "''", 15),
             (f"{_ORDER} || '.ship'", "call", "'Customer' || o_custkey", "''", "''", 16),
             (_PUT, "call", f"{_ORDER} || '.ship'", "''", "''", 8),
