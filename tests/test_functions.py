@@ -124,8 +124,8 @@ def diamond(spark):
 
 def test_flow_renderings(diamond):
     nodes, edges = diamond
-    steps = paths.path_steps(paths.flow_paths(edges, "r"), nodes)
-    assert list(render.printed(render.flow_lines(steps), "root", "place")) == [
+    levels = paths.flow_levels(edges, "r")
+    assert list(render.printed(render.flow_lines(levels, nodes), "root", "place")) == [
         "POST /x",
         '├─► say "hi"',
         "│    └─► C",
@@ -134,7 +134,7 @@ def test_flow_renderings(diamond):
         "     └─► C",
         "          └─► gone",
     ]
-    assert list(render.printed(render.mermaid_lines(steps), "root", "place", "pos", "part")) == [
+    assert list(render.printed(render.mermaid_lines(levels, nodes), "root", "place", "pos", "part")) == [
         "flowchart TD",
         '    n_r["POST /x"]',
         '    n_a["say \\"hi\\""]',
@@ -149,6 +149,41 @@ def test_flow_renderings(diamond):
     ]
 
 
+def test_flow_tree_of_many_roots_and_parallel_edges(spark):
+    """Against a plain recursion: alike prefixes are one branch, whatever edges they run over."""
+    import random
+
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(7)}", f"n{rng.randrange(7)}", rng.choice(["calls", "creates"])) for _ in range(26)]
+    edges, nodes = make_edges(spark, pairs), make_nodes(spark, [(f"n{i}", "type", f"N{i}") for i in range(6)])
+    levels = paths.flow_levels(edges, ["n1", "n4", "alone"], 4)
+
+    def drawn(node, trail, stem):
+        kids = []
+        for to, kind in ((b, k) for a, b, k in pairs if a == node and b not in trail):
+            kids += [] if (to, kind) in kids or len(trail) > 4 else [(to, kind)]
+        for i, (to, kind) in enumerate(kids):
+            last = i == len(kids) - 1
+            name = to.upper() if to != "n6" else to
+            yield stem + ("└─► " if last else "├─► ") + ("" if kind == "calls" else f"[{kind}] ") + name
+            yield from drawn(to, [*trail, to], stem + ("     " if last else "│    "))
+
+    want = ["alone"]
+    for root in ("n1", "n4"):
+        want += [root.upper(), *drawn(root, [root], "")]
+    assert list(render.printed(render.flow_lines(levels, nodes), "root", "place")) == want
+    chart = list(render.printed(render.mermaid_lines(levels, nodes).filter("root = 'n1'"), "place", "pos", "part"))
+    steps = paths.path_steps(levels.maximal().filter("root = 'n1'"), nodes).orderBy("path_key", "pos").select("path_key", "pos", "id", "via").collect()
+    seen, prev = ["flowchart TD"], None
+    for s in steps:
+        name = s["id"].upper() if s["id"] != "n6" else "n6"
+        seen.append(f'    n_{s["id"]}["{name}"]')
+        if s["pos"] and not any(x.startswith(f"    n_{prev} -->") and x.endswith(f" n_{s['id']}") for x in seen):
+            seen.append(f"    n_{prev} -->|{s['via']}| n_{s['id']}")
+        prev = s["id"]
+    assert chart == list(dict.fromkeys(seen))
+
+
 def test_reachable_lines(diamond):
     nodes, edges = diamond
     lines = render.reachable_lines(traverse.dependencies(nodes, edges, "r"))

@@ -7,11 +7,16 @@ Nothing is assembled on the driver until a caller prints the lines one by one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.functions.text import display_name, edge_label, mermaid_id, quoted
+from weftgraph.operators.model import node_or_stub
+from weftgraph.operators.paths import PathLevels
+from weftgraph.session import materialize
 
 # What is shown instead of an empty result.
 NOTHING_DEPENDS = "Nothing depends on this — safe to change in isolation (no known dependents in the graph)."
@@ -38,102 +43,76 @@ def reachable_lines(hits: DataFrame) -> DataFrame:
     return heads.unionByName(items)
 
 
-def flow_tree(steps: DataFrame) -> DataFrame:
+def flow_tree(levels: PathLevels, nodes: DataFrame) -> DataFrame:
     """Paths merged into a tree: one row per different (via, id) prefix.
 
-    Columns: root, branch (the prefix), place (its first position in depth-first
-    order), label, is_last (no later sibling).
+    Columns: root, depth, place (sorts depth first), label, is_last (no later sibling),
+    line.  A level of the tree is made from one level of paths and its parents' row
+    numbers.  Of the paths that share a prefix one stands for all, since they go on
+    alike; it hands down its place and the stem that lines below it begin with.
+    Levels are written once, since each is read for its lines and for the next.
     """
-    branch = F.transform("order_key", lambda s: F.struct(s["via"].alias("via"), s["id"].alias("id")))
-    label = F.when(F.col("pos") == 0, display_name()).otherwise(edge_label(F.col("via"), display_name()))
-    tree = (
-        steps.withColumn("branch", branch)
-        .withColumn("label", label)
-        .groupBy("root", "branch")
-        .agg(F.min("order_key").alias("place"), F.first("label").alias("label"))
+    key = T.StructType().add("seq", levels.seq_type).add("id", "string").add("via", "string")
+    empty = F.array().cast(T.ArrayType(key))
+    above = levels.level(0).select(
+        "root", "pid", "tail", F.lit("").alias("via"), empty.alias("place"), F.lit(True).alias("is_last"), F.lit("").alias("start"), F.lit("").alias("below")
     )
-    parent = F.when(F.size("branch") > 0, F.slice("branch", F.lit(1), F.size("branch") - 1))
-    tree = tree.withColumn("parent", parent)
-    last = tree.groupBy("root", "parent").agg(F.max("place").alias("last_place"))
-    last = last.select(F.col("root").alias("_r"), F.col("parent").alias("_p"), "last_place")
-    joined = tree.join(last, F.expr("root <=> _r AND parent <=> _p"))
-    return joined.select("root", "branch", "place", "label", (F.col("place") == F.col("last_place")).alias("is_last"))
+    made = [above]
+    for d in range(1, levels.depth + 1):
+        step = F.element_at("steps", -1)
+        paths = levels.level(d).select("parent", "pid", "tail", step["via"].alias("via"), step["seq"].alias("seq"))
+        # One row per child of a node that stands for its prefix.
+        kids = paths.groupBy("parent", "via", "tail").agg(F.min(F.struct("seq", "pid")).alias("first"))
+        kids = kids.select("parent", F.col("first.pid").alias("pid"), F.struct(F.col("first.seq").alias("seq"), F.col("tail").alias("id"), "via").alias("key"))
+        last = kids.groupBy("parent").agg(F.max("key").alias("last"))
+        up = above.select("root", F.col("pid").alias("parent"), F.col("place").alias("up"), F.col("below").alias("stem"))
+        last_one = F.col("key").eqNullSafe(F.col("last"))
+        here = kids.join(last, "parent").join(up, "parent").select(
+            "root",
+            "pid",
+            F.col("key.id").alias("tail"),
+            F.col("key.via").alias("via"),
+            F.concat("up", F.array("key")).alias("place"),
+            last_one.alias("is_last"),
+            F.concat("stem", F.when(last_one, "└─► ").otherwise("├─► ")).alias("start"),
+            F.concat("stem", F.when(last_one, "     ").otherwise("│    ")).alias("below"),
+        )
+        above = materialize(here, "tree")
+        made.append(above)
+    named = node_or_stub(reduce(DataFrame.unionByName, made).withColumnRenamed("tail", "id"), nodes, ["name", "qualified"])
+    depth = F.size("place")
+    label = F.when(depth == 0, display_name()).otherwise(edge_label(F.col("via"), display_name()))
+    return named.select("root", depth.alias("depth"), "place", label.alias("label"), "is_last", F.concat("start", label).alias("line"))
 
 
-def flow_lines(steps: DataFrame) -> DataFrame:
+def flow_lines(levels: PathLevels, nodes: DataFrame) -> DataFrame:
     """(root, place, line): the call tree with box-drawing connectors."""
-    tree = flow_tree(steps)
-    # Every line needs to know which of its ancestors were last: fetch them by
-    # prefix, at most one per level.
-    prefixes = tree.select(
-        "root",
-        "branch",
-        "place",
-        "label",
-        F.explode(F.expr("transform(sequence(0, size(branch)), i -> slice(branch, 1, i))")).alias("prefix"),
-    )
-    flags = tree.select(F.col("root").alias("_r"), F.col("branch").alias("_b"), "is_last")
-    drawn = (
-        prefixes.join(flags, F.expr("root = _r AND prefix = _b"))
-        .filter(F.size("prefix") > 0)
-        .groupBy("root", "branch", "place", "label")
-        .agg(F.sort_array(F.collect_list(F.struct(F.size("prefix").alias("d"), "is_last"))).alias("flags"))
-    )
-    stem = F.array_join(
-        F.transform(
-            "flags",
-            lambda f: F.when(
-                f["d"] < F.size("branch"), F.when(f["is_last"], F.lit("     ")).otherwise(F.lit("│    "))
-            ).otherwise(F.when(f["is_last"], F.lit("└─► ")).otherwise(F.lit("├─► "))),
-        ),
-        "",
-    )
-    root_lines = tree.filter(F.size("branch") == 0).select("root", "place", F.col("label").alias("line"))
-    return root_lines.unionByName(drawn.select("root", "place", F.concat(stem, "label").alias("line")))
-
-
-def mermaid_lines(steps: DataFrame) -> DataFrame:
-    """(root, place, pos, part, line): a flowchart, each node and edge once, at first sight."""
-    w = Window.partitionBy("root", "path_key").orderBy("pos")
-    walked = steps.select(
-        "root",
-        "path_key",
-        "order_key",
-        "pos",
-        "via",
-        mermaid_id(F.col("id")).alias("mid"),
-        display_name().alias("label"),
-        F.lag(mermaid_id(F.col("id"))).over(w).alias("prev"),
-    )
-    seen = F.struct("path_key", "pos")
-    nodes = walked.groupBy("root", "mid").agg(F.min(seen).alias("at"), F.min_by("label", seen).alias("label"))
-    edges = (
-        walked.filter("prev IS NOT NULL")
-        .groupBy("root", "prev", "mid")
-        .agg(F.min(seen).alias("at"), F.min_by("via", seen).alias("via"))
-    )
-    node_rows = nodes.select(
-        "root",
-        F.col("at.path_key").alias("place"),
-        F.col("at.pos").alias("pos"),
-        F.lit(0).alias("part"),
-        F.concat(F.lit("    "), "mid", F.lit("["), quoted(F.col("label")), F.lit("]")).alias("line"),
-    )
-    edge_rows = edges.select(
-        "root",
-        F.col("at.path_key").alias("place"),
-        F.col("at.pos").alias("pos"),
-        F.lit(1).alias("part"),
-        F.concat(F.lit("    "), "prev", F.lit(" -->|"), "via", F.lit("| "), "mid").alias("line"),
-    )
-    title = steps.select("root").distinct().select(
-        "root",
-        F.lit(None).cast(steps.schema["path_key"].dataType).alias("place"),
-        F.lit(-1).alias("pos"),
-        F.lit(0).alias("part"),
-        F.lit("flowchart TD").alias("line"),
+    return flow_tree(levels, nodes).select("root", "place", "line")
+
+
+def mermaid_lines(levels: PathLevels, nodes: DataFrame) -> DataFrame:
+    """(root, place, pos, part, line): a flowchart, each node and edge once, at first sight.
+
+    The last steps of all paths are all sights; walked depth first, the first one
+    of a node or edge is the least place.
+    """
+    sights = levels.last_steps().withColumnRenamed("order_key", "place")
+    ids = node_or_stub(sights.groupBy("root", "id").agg(F.min("place").alias("place")), nodes, ["name", "qualified"])
+    ids = ids.select("root", "place", mermaid_id(F.col("id")).alias("mid"), display_name().alias("label"))
+    boxes = ids.groupBy("root", "mid").agg(F.min("place").alias("place"), F.min_by("label", "place").alias("label"))
+    links = (
+        sights.filter("pos > 0")
+        .groupBy("root", mermaid_id(F.col("prev")).alias("prev"), mermaid_id(F.col("id")).alias("mid"))
+        .agg(F.min("place").alias("place"), F.min_by("via", "place").alias("via"))
     )
-    return title.unionByName(node_rows).unionByName(edge_rows)
+    box = F.concat(F.lit("    "), "mid", F.lit("["), quoted(F.col("label")), F.lit("]"))
+    link = F.concat(F.lit("    "), "prev", F.lit(" -->|"), "via", F.lit("| "), "mid")
+    place_type = sights.schema["place"].dataType
+    title = levels.level(0).select("root", F.lit(None).cast(place_type).alias("place"), F.lit(-1).alias("pos"), F.lit(0).alias("part"), F.lit("flowchart TD").alias("line"))
+    rows = [title]
+    for part, (found, line) in enumerate([(boxes, box), (links, link)]):
+        rows.append(found.select("root", "place", F.size("place").alias("pos"), F.lit(part).alias("part"), line.alias("line")))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def printed(lines: DataFrame, *order: str) -> Iterator[str]:

@@ -129,5 +129,5 @@ def analyze_and_save(
 
 def flow_document(graph: CodeGraph, root: str, depth: int = paths.DEFAULT_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three renderings of the flow of a known id: steps, tree lines and flowchart lines."""
-    steps = graph.flow_steps(graph.flow_of(root, depth))
-    return steps, render.flow_lines(steps), render.mermaid_lines(steps)
+    levels = paths.flow_levels(graph.edges, root, depth)
+    return graph.flow_steps(levels.maximal()), render.flow_lines(levels, graph.nodes), render.mermaid_lines(levels, graph.nodes)

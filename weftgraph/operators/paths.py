@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,71 +16,83 @@ from weftgraph.session import scratch_path, write_counted
 DEFAULT_DEPTH = 5
 
 
-def flow_paths(edges: DataFrame, roots: str | Iterable[str] | DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
-    """Maximal simple paths from each root: (root, n_hops, steps).
+class PathLevels:
+    """Simple paths by their number of hops, each level a table under the shared scratch folder.
+
+    A row (root, pid, parent, tail, steps) is one path; ``parent`` is the row number of
+    the path one hop shorter, and ``steps`` holds (id, via, seq).
+    """
+
+    def __init__(self, spark: SparkSession, seq_type: T.DataType):
+        step = T.StructType().add("id", "string").add("via", "string").add("seq", seq_type)
+        self.schema = T.StructType().add("root", "string").add("pid", "long").add("parent", "long").add("tail", "string").add("steps", T.ArrayType(step))
+        self.seq_type, self._spark, self._base, self.depth = seq_type, spark, scratch_path(spark, "paths"), -1
+
+    def add(self, rows: DataFrame) -> int:
+        """Write the next level under fresh row numbers and return its size."""
+        self.depth += 1
+        return write_counted(rows, f"{self._base}/hops={self.depth}")
+
+    def level(self, depth: int) -> DataFrame:
+        return self._spark.read.schema(self.schema).parquet(f"{self._base}/hops={depth}")
+
+    def maximal(self) -> DataFrame:
+        """(root, n_hops, steps) of the paths that were not extended."""
+        parts = []
+        for d in range(self.depth + 1):
+            rows = self.level(d)
+            if d < self.depth:
+                rows = rows.join(self.level(d + 1).select(F.col("parent").alias("pid")), "pid", "left_anti")
+            parts.append(rows.select("root", F.lit(d).alias("n_hops"), "steps"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def last_steps(self) -> DataFrame:
+        """The last step of every path: (root, order_key, pos, id, prev, via); ``order_key`` sorts depth first."""
+        trail = F.expr("transform(slice(steps, 2, size(steps)), s -> struct(s.seq AS seq, s.id AS id, s.via AS via))")
+        last = F.element_at("steps", -1)
+        parts = [
+            self.level(d).select(
+                "root",
+                trail.alias("order_key"),
+                F.lit(d).alias("pos"),
+                F.col("tail").alias("id"),
+                (F.element_at("steps", -2)["id"] if d else F.lit(None).cast("string")).alias("prev"),
+                last["via"].alias("via"),
+            )
+            for d in range(self.depth + 1)
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+
+def flow_levels(edges: DataFrame, roots: str | Iterable[str] | DataFrame, max_depth: int = DEFAULT_DEPTH) -> PathLevels:
+    """Simple paths from each root, level by level.
 
     All edge kinds count.  A path ends at the depth bound, at a node without
     outgoing edges, or where every neighbour is already on it; parallel edges
-    give separate paths.  ``steps`` holds (id, via, seq); sorting by
-    ``path_order`` gives depth-first order.
-
-    Each level is written once under fresh row numbers.  The next level keeps
-    its parent's number, so "was not extended" is an anti join on one long.
+    give separate paths.
     """
     depth_bound = max_depth if max_depth > 0 else DEFAULT_DEPTH
     spark = edges.sparkSession
     adjacency = outgoing(edges)
     seq_type = edges.schema["seq"].dataType
-    step = T.StructType(
-        [T.StructField("id", T.StringType()), T.StructField("via", T.StringType()), T.StructField("seq", seq_type)]
-    )
-    schema = T.StructType(
-        [
-            T.StructField("root", T.StringType()),
-            T.StructField("pid", T.LongType()),
-            T.StructField("parent", T.LongType()),
-            T.StructField("tail", T.StringType()),
-            T.StructField("steps", T.ArrayType(step)),
-        ]
-    )
-    base = scratch_path(spark, "paths")
+    levels = PathLevels(spark, seq_type)
+    start = F.struct(F.col("root").alias("id"), F.lit("").alias("via"), F.lit(None).cast(seq_type).alias("seq"))
+    number = F.monotonically_increasing_id().alias("pid")
+    first = as_roots(spark, roots).distinct()
+    found = levels.add(first.select("root", number, F.lit(-1).cast("long").alias("parent"), F.col("root").alias("tail"), F.array(start).alias("steps")))
+    while found and levels.depth < depth_bound:
+        here = levels.level(levels.depth)
+        longer = adjacency.join(here, adjacency["src"] == here["tail"]).filter(~F.exists("steps", lambda s: s["id"] == F.col("dst")))
+        step = F.struct(F.col("dst").alias("id"), F.col("kind").alias("via"), "seq")
+        found = levels.add(
+            longer.select("root", number, F.col("pid").alias("parent"), F.col("dst").alias("tail"), F.concat("steps", F.array(step)).alias("steps"))
+        )
+    return levels
 
-    def level(d: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{base}/hops={d}")
 
-    first = as_roots(spark, roots).distinct().select(
-        "root",
-        F.monotonically_increasing_id().alias("pid"),
-        F.lit(-1).cast("long").alias("parent"),
-        F.col("root").alias("tail"),
-        F.array(F.struct(F.col("root").alias("id"), F.lit("").alias("via"), F.lit(None).cast(seq_type).alias("seq"))).alias(
-            "steps"
-        ),
-    )
-    found = write_counted(first, f"{base}/hops=0")
-    depth = 0
-    while found and depth < depth_bound:
-        here = level(depth)
-        longer = adjacency.join(here, (adjacency["src"] == here["tail"])).filter(
-            ~F.exists("steps", lambda s: s["id"] == F.col("dst"))
-        )
-        longer = longer.select(
-            "root",
-            F.monotonically_increasing_id().alias("pid"),
-            F.col("pid").alias("parent"),
-            F.col("dst").alias("tail"),
-            F.concat("steps", F.array(F.struct(F.col("dst").alias("id"), F.col("kind").alias("via"), "seq"))).alias("steps"),
-        )
-        depth += 1
-        found = write_counted(longer, f"{base}/hops={depth}")
-
-    parts = []
-    for d in range(depth + 1):
-        rows = level(d)
-        if d < depth:
-            rows = rows.join(level(d + 1).select(F.col("parent").alias("pid")), "pid", "left_anti")
-        parts.append(rows.select("root", F.lit(d).alias("n_hops"), "steps"))
-    return reduce(DataFrame.unionByName, parts)
+def flow_paths(edges: DataFrame, roots: str | Iterable[str] | DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
+    """Maximal simple paths from each root: (root, n_hops, steps), see ``flow_levels``; ``path_order`` sorts them depth first."""
+    return flow_levels(edges, roots, max_depth).maximal()
 
 
 def path_order() -> list:

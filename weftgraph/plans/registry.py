@@ -342,22 +342,26 @@ def cyclic_paths(spark, sf):
     return _flat_paths(paths.flow_paths(star.event_edges(spark, sf), "user::8", max_depth=2))
 
 
-_STEPS = f"""WITH RECURSIVE {S.NODES}, {S.EDGES},
- walk AS (SELECT 'order::7' AS id, '' AS prev, '' AS via, 0 AS d
-   UNION SELECT e.to_id, w.id, e.kind, w.d + 1 FROM walk w JOIN edges e ON e.from_id = w.id WHERE w.d < 5),
- m AS (SELECT 'n_' || translate(id, ':./ -', '_____') AS mid, 'n_' || translate(prev, ':./ -', '_____') AS pmid, via, d,
-   CASE WHEN qualified <> '' THEN qualified ELSE name END AS label FROM walk JOIN nodes USING (id))"""
+def _numbered(lines: DataFrame, *order: str) -> DataFrame:
+    return lines.select("line", F.row_number().over(Window.partitionBy("root").orderBy(*order)).cast("long").alias("place"))
 
 
 @register(
     "mermaid_flow",
-    _STEPS + """ SELECT DISTINCT '    ' || mid || '["' || label || '"]' AS line FROM m
-    UNION ALL SELECT DISTINCT '    ' || pmid || ' -->|' || via || '| ' || mid FROM m WHERE d > 0
-    UNION ALL SELECT 'flowchart TD'""",
+    f"""WITH RECURSIVE {S.NODES}, {S.ORDERED_EDGES}, e AS (SELECT from_id, to_id, kind, min(spot) AS spot FROM ordered GROUP BY ALL),
+     r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY spot, to_id, kind) AS nth FROM e),
+     walk AS (SELECT 'order::7' AS id, '' AS prev, '' AS via, CAST([] AS BIGINT[]) AS keys
+       UNION ALL SELECT r.to_id, w.id, r.kind, list_append(w.keys, r.nth) FROM walk w JOIN r ON r.from_id = w.id WHERE len(w.keys) < 5),
+     m AS (SELECT 'n_' || translate(id, ':./ -', '_____') AS mid, 'n_' || translate(prev, ':./ -', '_____') AS pmid, via, keys,
+       CASE WHEN qualified <> '' THEN qualified ELSE name END AS label FROM walk JOIN nodes USING (id)),
+     shown AS (SELECT min(keys) AS keys, 0 AS part, '    ' || mid || '["' || label || '"]' AS line FROM m GROUP BY mid, label
+       UNION ALL SELECT min(keys), 1, '    ' || pmid || ' -->|' || via || '| ' || mid FROM m WHERE len(keys) > 0 GROUP BY pmid, via, mid
+       UNION ALL SELECT NULL, 0, 'flowchart TD')
+    SELECT line, row_number() OVER (ORDER BY keys NULLS FIRST, part) AS place FROM shown""",
 )
 def mermaid_flow(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return render.mermaid_lines(paths.path_steps(paths.flow_paths(edges, "order::7"), nodes)).select("line")
+    return _numbered(render.mermaid_lines(paths.flow_levels(edges, "order::7"), nodes), "place", "pos", "part")
 
 
 @register(
@@ -370,8 +374,7 @@ def mermaid_flow(spark, sf):
 )
 def ascii_flow(spark, sf):
     nodes, edges = _graph(spark, sf)
-    tree = render.flow_tree(paths.path_steps(paths.flow_paths(edges, "order::7"), nodes))
-    return tree.select(F.size("branch").alias("depth"), "label")
+    return render.flow_tree(paths.flow_levels(edges, "order::7"), nodes).select("depth", "label")
 
 
 @register(
@@ -387,8 +390,7 @@ def ascii_flow(spark, sf):
 )
 def ascii_flow_lines(spark, sf):
     nodes, edges = _graph(spark, sf)
-    lines = render.flow_lines(paths.path_steps(paths.flow_paths(edges, "order::7"), nodes))
-    return lines.select("line", F.row_number().over(Window.partitionBy("root").orderBy("place")).cast("long").alias("place"))
+    return _numbered(render.flow_lines(paths.flow_levels(edges, "order::7"), nodes), "place")
 
 
 @register(
