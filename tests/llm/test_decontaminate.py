@@ -66,6 +66,30 @@ def test_documents(spark):
     assert decontaminate.matches(documents(spark, []), items).collect() == []
 
 
+def test_short_items_count_on_word_edges(spark):
+    known = decontaminate.Items([(0, "7 apples"), (1, "x"), (2, "(yes)"), (3, "twenty four characters!!")], 0.1)
+    assert known.search("he had 7 apples.") == {0: 0}
+    assert known.search("17 apples, 7 applesauce, xx") == {}
+    assert known.search("x") == {1: 0} and known.search("a-x") == {1: 0}
+    assert known.search("oh(yes)no") == {2: 0}
+    assert known.search("so: twenty four characters!!!") == {3: 0} and known.search("twenty foor characters!!") == {}
+    items = spark.createDataFrame([(1, "7  Apples"), (2, " \n"), (3, "")], "item_id bigint, text string")
+    docs = documents(spark, [(1, "She ate 7\napples", "en", "a"), (2, "17 apples", "en", "a"), (3, " ", "en", "a")])
+    assert [(r.doc_id, r.item_id, r.distance, r.item_chars) for r in decontaminate.matches(docs, items).collect()] == [(1, 1, 0, 8)]
+
+
+def test_bounded_masks_find_the_same(monkeypatch):
+    r = random.Random(4)
+    items = [(i, "".join(r.choice("abcdefghij ") for _ in range(90)).strip()) for i in range(20)]
+    texts = [decontaminate.normal("zz " + edited(r, t, 6) + " yy") for _, t in items]
+    known = decontaminate.Items(items, 0.1)
+    whole = [known.search(t) for t in texts]
+    monkeypatch.setattr(decontaminate, "HELD", 100)
+    few = decontaminate.Items(items, 0.1)
+    assert [few.search(t) for t in texts] == whole and sum(map(len, whole)) >= 15
+    assert few.held <= 200
+
+
 def test_slices_find_the_same(spark, monkeypatch):
     r = random.Random(9)
     items = [(i, "".join(r.choice("abcdefghij ") for _ in range(80))) for i in range(30)]

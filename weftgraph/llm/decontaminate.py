@@ -9,14 +9,15 @@ one keeps within its own share of the budget, so the pair of pieces around a
 hit is tested first, then four, then eight, up to the whole item.  This drops
 chance hits after a few characters and loses none.
 
-Letters are compared in lower case and white space as single blanks.
+Letters are compared in lower case and white space as single blanks.  An item
+of fewer than ``SHORT`` characters has no room for edits: it is one piece, and
+counts where it stands on word edges.
 
 Items reach the executors in slices of at most ``SLICE`` characters, one pass
 over the documents per slice, so what is broadcast is bounded whatever the
 number of items.  Documents are never shuffled for the search.
 
-Defined cases: null texts and items match nothing; an item of fewer than
-``LEAST`` characters identifies no document and matches nothing; an item that
+Defined cases: null, empty and blank texts and items match nothing; an item that
 occurs several times counts with its least distance; repeated rows give
 repeated results; empty tables give an empty result.
 """
@@ -33,8 +34,10 @@ from weftgraph.session import materialize
 
 #: Edits allowed, as a fraction of an item's characters.
 RATE = 0.1
-#: Least length of an item, and characters of items in one pass.
-LEAST, SLICE = 25, 8_000_000
+#: Items below this length are found exactly, on word edges.
+SHORT = 25
+#: Characters of items in one pass, and of items whose bit masks a worker holds at once.
+SLICE, HELD = 2_000_000, 2_000_000
 _SCHEMA = "doc_id bigint, k_id bigint, k_hash bigint, item_id bigint, distance int, item_chars int"
 
 
@@ -70,11 +73,11 @@ class Items:
     """An automaton over the pieces of many items."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items, self.masks = items, {}
+        self.items, self.masks, self.held = items, {}, 0
         self.cuts: list[list[int]] = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for at, (_, text) in enumerate(items):
-            k = int(len(text) * rate)
+            k = int(len(text) * rate) if len(text) >= SHORT else 0
             cut = [len(text) * i // (k + 1) for i in range(k + 2)]
             self.cuts.append(cut)
             for i in range(k + 1):
@@ -92,6 +95,9 @@ class Items:
             masks: dict[str, int] = {}
             for i, c in enumerate(part):
                 masks[c] = masks.get(c, 0) | 1 << i
+            self.held += len(part)
+            if self.held > HELD:  # they are made again when needed
+                self.masks, self.held = {}, len(part)
             got = self.masks[at, lo, hi] = (masks, len(part))
         return got
 
@@ -111,6 +117,13 @@ class Items:
                 return None
         return distance
 
+    def _stands_alone(self, text: str, start: int, end: int) -> bool:
+        """Whether a short item at this place begins and ends on word edges; longer ones may begin anywhere."""
+        if end - start >= SHORT:
+            return True
+        before, after = text[start - 1 : start] if start else "", text[end : end + 1]
+        return not (before.isalnum() and text[start].isalnum()) and not (after.isalnum() and text[end - 1].isalnum())
+
     def search(self, text: str) -> dict[int, int]:
         """item place -> least distance in ``text``."""
         found: dict[int, int] = {}
@@ -118,6 +131,8 @@ class Items:
             return found
         for end, (size, where) in self.automaton.iter(text):
             for at, piece in where:
+                if len(self.cuts[at]) == 2 and not self._stands_alone(text, end + 1 - size, end + 1):
+                    continue
                 if found.get(at, 1):
                     d = self._around(text, end, size, at, piece)
                     if d is not None and d < found.get(at, d + 1):
@@ -134,7 +149,7 @@ def _slices(items: DataFrame) -> list[list[tuple[int, str]]]:
     out, size = [[]], 0
     for item_id, text in rows.orderBy("item_id", "text").toLocalIterator():
         text = normal(text)
-        if len(text) < LEAST:
+        if not text:
             continue
         if size + len(text) > SLICE:
             yield out.pop()
