@@ -59,6 +59,8 @@ def test_last_write_wins(spark):
 def test_scalars(spark):
     assert apply(spark, text.mermaid_id, "symbol::a/b.go::POST /x-y") == ["n_symbol__a_b_go__POST__x_y"]
     assert apply(spark, text.symbol_label, "symbol::f::A.b", "plain") == ["A.b", "plain"]
+    hidden = "a\u00a0b\u200bc\u0085\U000e0001\ue000 \U0001f642日\u0301\x7f"
+    assert apply(spark, text.quoted, hidden, "") == ['"a\\u00a0b\\u200bc\\u0085\\U000e0001\\ue000 \U0001f642日\u0301\\x7f"', '""']
     assert apply(spark, text.quoted, 'a"b\\c\n\t\x01é') == ['"a\\"b\\\\c\\n\\t\\x01é"']
     assert apply(spark, lambda c: text.truncated(c, 5), "abcde", "abcdef", "éééé") == ["abcde", "abcd…", "éé…"]
     assert apply(spark, lambda c: text.signature(c, "{"), "func  a(\n b) {x}") == ["func a( b)"]
@@ -213,3 +215,11 @@ def test_provider_config():
         ask.provider_config({"WEFTGRAPH_PROVIDER": "anthropic"})
     with pytest.raises(LookupError):
         ask.provider_config({})
+
+
+def test_json_items_are_indented(capsys):
+    from weftgraph.__main__ import _print_array
+
+    _print_array(['{"a":"é","b":{"c":1,"d":[]}}', "2"], "  ")
+    _print_array([])
+    assert capsys.readouterr().out == '  [\n    {\n      "a": "é",\n      "b": {\n        "c": 1,\n        "d": []\n      }\n    },\n    2\n  ][]'

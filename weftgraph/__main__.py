@@ -59,10 +59,11 @@ def json_rows(rows: DataFrame, *order: F.Column) -> Iterable[str]:
 
 
 def _print_array(items: Iterable[str], indent: str = "") -> None:
-    """A JSON array, written item by item."""
+    """A JSON array, indented by two blanks a level and written item by item."""
     print(indent + "[", end="")
     first = True
     for item in items:
+        item = json.dumps(json.loads(item), ensure_ascii=False, indent=2).replace("\n", "\n" + indent + "  ")
         print(("\n" if first else ",\n") + indent + "  " + item, end="")
         first = False
     print("]" if first else "\n" + indent + "]", end="")

@@ -30,7 +30,7 @@ def edge_label(via: Column, name: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """A double-quoted literal with backslash escapes for control characters."""
+    """A double-quoted literal with backslash escapes for what does not print: all but letters, marks, numbers, punctuation, symbols and blanks."""
     escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     # The control characters that have a letter escape.
     letters = {"\a": "a", "\b": "b", "\f": "f", "\n": "n", "\r": "r", "\t": "t", "\v": "v"}
@@ -39,7 +39,15 @@ def quoted(text: Column) -> Column:
     for code in [*range(0x20), 0x7F]:
         if chr(code) not in letters:
             escaped = F.replace(escaped, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    hidden = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]"
+
+    def shown(c: Column) -> Column:
+        code = F.ascii(c)
+        by_code = F.when(code < 0x10000, F.format_string(r"\u%04x", code)).otherwise(F.format_string(r"\U%08x", code))
+        return F.when(F.rlike(c, F.lit(hidden)), by_code).otherwise(c)
+
+    each = F.array_join(F.transform(F.regexp_extract_all(escaped, F.lit("(?s)."), F.lit(0)), shown), "")
+    return F.concat(F.lit('"'), F.when(F.rlike(escaped, F.lit(hidden)), each).otherwise(escaped), F.lit('"'))
 
 
 def first_bytes(text: Column, size: int) -> Column:
