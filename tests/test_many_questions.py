@@ -57,3 +57,27 @@ def test_sets_of_matchers_in_one_pass(spark, monkeypatch):
         got = Counter(tuple(x) for x in reach_sets.reaching_each(make_edges(spark, edges), frame, depth).collect())
         assert got == Counter({(m, i) for m, start in matched if m for i in reached(start, depth or -1)})
     assert reach_sets.reaching_each(make_edges(spark, edges), frame.where("false")).collect() == []
+
+
+def test_nodes_of_one_name_are_not_paired_with_questions(spark, monkeypatch):
+    stored = {}
+
+    def counted(df, label, *folders, keep=search.materialize):
+        kept = keep(df, label, *folders)
+        stored[label] = max(stored.get(label, 0), kept.count())
+        return kept
+
+    monkeypatch.setattr(search, "materialize", counted)
+    monkeypatch.setattr(search, "CLASS_WORDS", 2)
+    rows = [(f"r{i:03}", "type", "red ring") for i in range(200)] + [(f"c{i}", "class", f"user#{i}") for i in range(40)]
+    rows += [("r001", "type", "ring"), ("two", "type", "a red ring box")]  # a repeated id, a name with more words than a class lists
+    nodes = make_nodes(spark, rows)
+    questions = ["red ring", "the user#7 ring", "user", "a red ring box ring?", "box red ring #7"]
+    asked = spark.createDataFrame(list(enumerate(questions)), "question_id int, question string")
+    best = search.lexical_match_of_each(nodes, asked, limit=3).orderBy("question_id", "place").collect()
+    for q, text in enumerate(questions):
+        score = Counter()
+        for r in search.lexical_scores(nodes, text).collect():
+            score[r.id] += r.score
+        assert [(r.id, r.score) for r in best if r.question_id == q] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:3]
+    assert stored["names"] < 60 and stored["class-ids"] < 30

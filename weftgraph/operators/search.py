@@ -10,6 +10,8 @@ from weftgraph.session import materialize
 
 MIN_WORD_BYTES = 3
 SEED_COUNT = 5
+#: Words that a class of nodes may list.
+CLASS_WORDS = 16
 
 
 class SymbolNotFound(LookupError):
@@ -71,32 +73,68 @@ def lexical_scores(nodes: DataFrame, question: str) -> DataFrame:
     return nodes.select("id", F.size(hits).alias("score")).filter("score > 0")
 
 
+def _asked(questions: DataFrame) -> DataFrame:
+    """(question_id, word, times) of questions (question_id, question), stored once."""
+    words = F.filter(F.split(F.lower("question"), r"\s+"), lambda w: F.octet_length(w) >= MIN_WORD_BYTES)
+    return materialize(
+        questions.select("question_id", F.explode(words).alias("word")).groupBy("question_id", "word").agg(F.count(F.lit(1)).alias("times")), "question-words"
+    )
+
+
+def _word_names(words: DataFrame, names: DataFrame) -> DataFrame:
+    """(word, name) of which one is in the other, stored once."""
+    inside = contained(words, names).toDF("word", "name")
+    around = contained(names, words).toDF("name", "word").select("word", "name")
+    return materialize(inside.union(around).distinct(), "word-names")
+
+
 def lexical_scores_of_each(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, id, score) of many questions (question_id, question) at once; the score is that of one question.
 
     Which words and names contain one another is found once per different word and
     name, by an index of their n-grams in either direction.
     """
-    words = F.filter(F.split(F.lower("question"), r"\s+"), lambda w: F.octet_length(w) >= MIN_WORD_BYTES)
-    asked = materialize(
-        questions.select("question_id", F.explode(words).alias("word")).groupBy("question_id", "word").agg(F.count(F.lit(1)).alias("times")), "question-words"
-    )
+    asked = _asked(questions)
     named = materialize(nodes.select("id", F.lower("name").alias("name")).where("name IS NOT NULL"), "names")
-    inside = contained(asked.select("word"), named.select("name")).toDF("word", "name")
-    around = contained(named.select("name"), asked.select("word")).toDF("name", "word").select("word", "name")
-    pairs = materialize(inside.union(around).distinct(), "word-names")
+    pairs = _word_names(asked.select("word"), named.select("name"))
     # A word that is in many names, or a name with many nodes, is split by adaptive execution.
     hits = asked.join(pairs, "word").groupBy("question_id", "name").agg(F.sum("times").alias("score"))
     return hits.join(named, "name").groupBy("question_id", "id").agg(F.sum("score").cast("int").alias("score"))
 
 
 def lexical_match_of_each(nodes: DataFrame, questions: DataFrame, limit: int = SEED_COUNT) -> DataFrame:
-    """The best-scoring ids of each question, ties by id."""
+    """The best-scoring ids of each question, ties by id.
+
+    Nodes that meet the same words have the same score in every question, so only
+    the ``limit`` first ids of such a class can be among the best.  Questions are
+    paired with classes; a name's nodes are never paired with questions.
+    """
+    asked = _asked(questions)
+    owned = nodes.where("name IS NOT NULL").groupBy("id").agg(F.sort_array(F.collect_list(F.lower("name"))).alias("names"))
+    named = materialize(_first_ids(owned, "names", limit), "names")
+    pairs = _word_names(asked.select("word"), named.select(F.explode("names")))
+    each = named.select("names").distinct().select("names", F.explode("names").alias("name"))
+    met = materialize(each.join(pairs, "name").groupBy("names", "word").agg(F.count(F.lit(1)).alias("n")), "names-words")
+    # Names with many words are classes of their own, so that no class has a long list of words.
+    few = met.groupBy("names").agg(F.count(F.lit(1)).alias("_words")).where(F.col("_words") <= CLASS_WORDS).select("names")
+    sets = met.join(few, "names").groupBy("names").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("words"))
+    own = F.struct(F.when(F.col("words").isNull(), F.col("names")).alias("names"), "words")
+    classed = materialize(met.select("names").distinct().join(sets, "names", "left").select("names", own.alias("class")), "classes")
+    ids = materialize(_first_ids(named.join(classed, "names").select("class", "id"), "class", limit), "class-ids")
+    short = classed.where("class.words IS NOT NULL").select("class").distinct().select("class", F.inline("class.words"))
+    long = met.join(classed.where("class.words IS NULL"), "names").select("class", "word", "n")
+    hits = asked.join(short.unionByName(long), "word").groupBy("question_id", "class").agg(F.sum(F.col("times") * F.col("n")).alias("score"))
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    ranked = lexical_scores_of_each(nodes, questions).withColumn("place", F.row_number().over(best))
+    ranked = hits.join(ids, "class").select("question_id", "id", F.col("score").cast("int").alias("score")).withColumn("place", F.row_number().over(best))
     return ranked.where(F.col("place") <= limit)
 
 
+def _first_ids(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` first ids of every ``key``."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("id"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= limit).select(key, "id")
+
+
 def lexical_match(nodes: DataFrame, question: str, limit: int = SEED_COUNT) -> DataFrame:
     """The best-scoring ids, ties by id."""
     return lexical_scores(nodes, question).orderBy(F.desc("score"), "id").limit(limit)
