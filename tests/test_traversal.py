@@ -220,3 +220,12 @@ def test_hub_with_a_third_of_all_edges(spark):
     assert [tuple(r) for r in hits.groupBy("distance", "via").count().collect()] == [(1, "calls", n)]
     top = coupling.top_coupled(nodes.unionByName(spark.createDataFrame([("hub", "class", "hub", "", "")], nodes.schema)), edges, 1).first()
     assert (top["id"], top["fan_in"], top["fan_out"]) == ("hub", n, 0)
+
+
+def test_impact_of_each_root_is_neither_sorted_nor_joined_with_nodes(spark):
+    roots = spark.createDataFrame([(r,) for r in ROOTS], "root string")
+    found = traverse.impact_of_each(make_edges(spark, EDGES), roots)
+    want = {(root, i): hit for root in ROOTS for i, hit in walk(root, False, 0).items() if i != root}
+    assert {(r.root, r.id): (r.distance, r.via) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and "Join" not in plan
