@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.model import incoming
-from weftgraph.operators.traverse import stored_once
+from weftgraph.operators.adjacency import stored_once
 from weftgraph.session import materialize, scratch_path, write_counted
 
 #: Bits of a word; the sign bit stays free.
