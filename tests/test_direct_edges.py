@@ -6,7 +6,7 @@ import pytest
 
 from tests.helpers import make_edges, make_nodes
 from tests.test_traversal import EDGES, NODES, ROOTS, walk
-from weftgraph.operators import adjacency, model, traverse
+from weftgraph.operators import adjacency, model, paths, traverse
 from weftgraph.plans import registry
 from weftgraph.session import scratch_root
 
@@ -60,3 +60,12 @@ def test_queries_over_edge_tables_store_no_edges(spark, name):
     before = stored(spark)
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 1
     assert stored(spark) == before
+
+
+def test_many_roots_of_paths_sort_no_edges(spark, monkeypatch):
+    monkeypatch.setattr(adjacency, "LARGE", 1)
+    plans, write = [], paths.write_counted
+    monkeypatch.setattr(paths, "write_counted", lambda df, path: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, path))[1])
+    edges = make_edges(spark, [(f"a{i}", f"a{i + 1}", "calls") for i in range(9)])
+    assert paths.flow_paths(edges, [f"a{i}" for i in range(9)], max_depth=1).count() == 9
+    assert "ShuffledHashJoin" in plans[1] and "SortMergeJoin" not in plans[1]
