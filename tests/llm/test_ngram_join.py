@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import pytest
 
 from tests.llm.helpers import CLASH, ODD, documents
 from weftgraph.llm import ngram_join
+from weftgraph.session import scratch_root
 
 
 def brute(rows, k=5, near=75):
@@ -87,3 +89,17 @@ def test_keep_one(spark):
 def test_empty(spark):
     assert ngram_join.link(documents(spark, [])).collect() == []
     assert ngram_join.keep_one(documents(spark, [])).collect() == []
+
+
+def test_texts_are_not_copied_for_members_that_stay_apart(spark):
+    r = random.Random(3)
+    word = lambda: f"{r.getrandbits(40):x}"
+    passage = [word() for _ in range(330)]
+    rows = [(i, " ".join(passage + [word() for _ in range(330)]), "en", "a") for i in range(400)]
+    top = Path(scratch_root(spark).removeprefix("file:")) / "weftgraph"
+    before = set(top.glob("*"))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.link(documents(spark, rows)).collect()}
+    assert got == {i: (656, i) for i in range(400)}
+    stored = sum(p.stat().st_size for x in set(top.glob("*")) - before for p in x.rglob("*.parquet"))
+    # All are in groups of the passage and none link: a copy of their texts alone takes twice as much.
+    assert stored < sum(len(t) for _, t, *_ in rows) / 3

@@ -31,7 +31,9 @@ other components, then what still spans components.  Groups of more than
 than one).  So no group is paired in full because it is large, members of one
 component are not paired at all, and no link between components is lost.
 
-Keys are shuffled as packed arrays, not rows: about nine bytes each.
+Keys are shuffled as packed arrays, not rows: about nine bytes each.  Texts are
+not stored again: each check moves those that its pairs name.  Sketches are
+stored for the classes in pairs and groups only and move when they are compared.
 
 Defined cases: null or blank text has an empty set and links with nothing; a
 text with fewer words than a shingle is one shingle; rows with a null id belong
@@ -300,16 +302,19 @@ def _listed(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(LISTED + 1).count() <= LISTED else ids
 
 
+_NAMED = ["a_doc_id", "a_text_hash", "b_doc_id", "b_text_hash"]
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, near: int) -> DataFrame:
-    """Pairs of ids as pairs of documents, without those that size or the 256-bit folds rule out."""
-    side = lambda p: classes.select(F.col("f1").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "text_hash", "n_shingles", "s0", "s1", "s2", "s3")])
+    """Pairs of classes with their documents, without those that size or the 256-bit folds rule out."""
+    side = lambda p: classes.select(F.col("f1").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "text_hash", "row", "n_shingles", "s0", "s1", "s2", "s3")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
     apart = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(4)), F.lit(0))
     most = (100 - near) * (F.col("a_n_shingles") + F.col("b_n_shingles"))
     fits = (100 * small >= near * large) & (apart * (100 + near) <= most)
     both = both.where(fits & F.col("a_doc_id").isNotNull() & F.col("b_doc_id").isNotNull())
-    return both.select("a_doc_id", "a_text_hash", "b_doc_id", "b_text_hash", most.alias("most"))
+    return both.select("a", "b", "a_row", "b_row", *_NAMED, most.alias("most"))
 
 
 def _fine(both: DataFrame, sketches: DataFrame, near: int) -> DataFrame:
@@ -323,21 +328,24 @@ def _fine(both: DataFrame, sketches: DataFrame, near: int) -> DataFrame:
                 fits.append(int(np.bitwise_count(_folded(x, w) ^ _folded(y, w)).sum()) * (100 + near) <= most)
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(fits, pa.bool_()))
 
-    wide = lambda p: sketches.select(F.col("doc_id").alias(f"{p}_doc_id"), F.col("text_hash").alias(f"{p}_text_hash"), F.col("sketch").alias(f"{p}_sketch"))
-    keys = lambda p: [f"{p}_doc_id", f"{p}_text_hash"]
-    both = both.join(wide("a"), keys("a")).join(wide("b"), keys("b"))
-    return both.select(*keys("a"), *keys("b"), "a_sketch", "b_sketch", "most").mapInArrow(run, "a_doc_id bigint, a_text_hash bigint, b_doc_id bigint, b_text_hash bigint")
+    wide = lambda p: sketches.select(F.col("f1").alias(p), F.col("sketch").alias(f"{p}_sketch"))
+    both = both.select("a", "b", *_NAMED, "most").join(wide("a"), "a").join(wide("b"), "b")
+    return both.select(*_NAMED, "a_sketch", "b_sketch", "most").mapInArrow(run, ", ".join(f"{c} bigint" for c in _NAMED))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, h, t): the texts of the documents that ``wanted`` names by id and text hash, once each."""
+    """(id, h, t): the texts of the documents that ``wanted`` names by id and text hash, once each.
+
+    Texts are dealt by (id, h) once; a join on these columns in the same plan does not move them again.
+    """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
     return texts.join(_listed(wanted), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, near: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, k: int, near: int) -> DataFrame:
     """The pairs (a, b) of document ids whose sets are similar enough.
 
+    Only texts that the pairs name are moved; they are read from ``docs`` and not stored.
     Pairs are dealt by their first document, whose set is held while the others
     pass by; a document with many partners is dealt to several tasks.
     """
@@ -360,14 +368,15 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, near: int) -> DataFrame
     dealt = pairs.join(counts, "a_doc_id").withColumn("part", F.pmod(F.hash("b_doc_id"), F.col("parts")))
     wanted = dealt.select("a_doc_id", "part", F.col("b_doc_id").alias("b"), F.col("b_doc_id").alias("id"), F.col("b_text_hash").alias("h"))
     held = dealt.select("a_doc_id", "part", F.lit(None).cast("bigint").alias("b"), F.col("a_doc_id").alias("id"), F.col("a_text_hash").alias("h")).distinct()
-    rows = wanted.union(held).join(texts, ["id", "h"]).select(F.col("a_doc_id").alias("a"), "part", "b", binary_of(F.col("t")).alias("t"))
+    named = materialize(pairs.select("a_doc_id", "a_text_hash").union(pairs.select("b_doc_id", "b_text_hash")).toDF("id", "h").distinct(), "named")
+    rows = wanted.union(held).join(_texts_of(docs, named), ["id", "h"]).select(F.col("a_doc_id").alias("a"), "part", "b", binary_of(F.col("t")).alias("t"))
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a bigint, b bigint")
 
 
 _PARTS = _KEYS + ", gid bigint, need bigint"
 
 
-def _split(open_groups: DataFrame, classes: DataFrame, texts: DataFrame, k: int, near: int, n_buckets: int) -> DataFrame:
+def _split(open_groups: DataFrame, classes: DataFrame, docs: DataFrame, k: int, near: int, n_buckets: int) -> DataFrame:
     """Members of open groups, entered by (group, any piece); and how many pieces a member's partners share with it."""
 
     def packed(keys, member, ids, needs):
@@ -397,7 +406,8 @@ def _split(open_groups: DataFrame, classes: DataFrame, texts: DataFrame, k: int,
 
     by_class = open_groups.groupBy("f1").agg(F.collect_set("gid").alias("gids"))
     reps = by_class.join(classes, "f1").select("gids", "f1", F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
-    return reps.join(texts, ["id", "h"]).select("gids", "f1", binary_of(F.col("t"))).mapInArrow(run, _PARTS)
+    reps = materialize(reps.where(F.col("id").isNotNull()), "reps")
+    return reps.join(_texts_of(docs, reps.select("id", "h").distinct()), ["id", "h"]).select("gids", "f1", binary_of(F.col("t"))).mapInArrow(run, _PARTS)
 
 
 def _placed(groups: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
@@ -458,10 +468,11 @@ def _close(n: np.ndarray, part: np.ndarray, block: np.ndarray, sketches: list[by
     return np.stack((order[p], order[q]))
 
 
-def _candidates(members: DataFrame, near: int, best: bool) -> DataFrame:
-    """(a, b) classes of ``members`` (gid, f1, c, n_shingles, sketch) that are close by their sketches.
+def _candidates(members: DataFrame, sketches: DataFrame, near: int, best: bool) -> DataFrame:
+    """(a, b) classes of ``members`` (gid, f1, c) that are close by their sketches.
 
     A group of more than ``BLOCK`` members is dealt to a task for each two of its blocks.
+    Members get their sketches when they are dealt, so a sketch moves to its member and to the task, no further.
     """
 
     def run(batches):
@@ -486,7 +497,8 @@ def _candidates(members: DataFrame, near: int, best: bool) -> DataFrame:
     blocks = members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks, "gid").withColumn("block", F.pmod(F.hash("f1"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "f1", "n_shingles", "c", "block", "sketch")
+    dealt = dealt.select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "f1", "c", "block")
+    dealt = dealt.join(sketches, "f1").select("gid", "lo", "hi", "f1", "n_shingles", "c", "block", "sketch")
     return dealt.repartition("gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -510,42 +522,34 @@ def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> Dat
 
     Groups of more than ``large`` members are split by further pieces before they are held against each other.
     """
-    rows = materialize(sets(docs, k), "sets")
+    rows = materialize(sets(docs, k).withColumn("row", F.monotonically_increasing_id()), "sets")
     filled = rows.where(F.col("n_shingles") > 0)
-    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("rep")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash", "row"))).alias("rep")
     classes = filled.groupBy("f1", "f2", "n_shingles").agg(least, *[F.max(f"s{i}").alias(f"s{i}") for i in range(4)])
-    classes = materialize(classes.select("f1", "f2", "n_shingles", "rep.doc_id", "rep.text_hash", "s0", "s1", "s2", "s3"), "classes")
+    classes = materialize(classes.select("f1", "f2", "n_shingles", "rep.doc_id", "rep.text_hash", "rep.row", "s0", "s1", "s2", "s3"), "classes")
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(64, total * 2 // 3 // BUCKET)
 
     found = _written(met(keyed(docs, k, near, n_buckets)), "met")
     pairs = materialize(_possible(found.where(F.col("gid").isNull()).select("a", "b").distinct(), classes, near), "pairs")
     groups = materialize(found.where(F.col("gid").isNotNull()).select(F.col("a").alias("f1"), "gid").distinct(), "groups")
-    # Sketches and texts that any later step can ask for.
-    members = groups.select("f1").distinct().join(classes, "f1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
-
-    def named(pairs: DataFrame) -> DataFrame:
-        ids = members
-        for side in ("a", "b"):
-            ids = ids.union(pairs.select(f"{side}_doc_id", f"{side}_text_hash"))
-        return materialize(ids.where(F.col("id").isNotNull()).distinct(), "named")
-
-    sketches = filled.join(_listed(named(pairs).toDF("doc_id", "text_hash")), ["doc_id", "text_hash"], "left_semi")
-    sketches = materialize(sketches.select("doc_id", "text_hash", "f1", "n_shingles", "sketch").dropDuplicates(["doc_id", "text_hash"]), "sketches")
+    # Sketches that any later step can ask for: a class has one row that stands for it.
+    named = groups.select("f1").distinct().join(classes, "f1").select("row").where(F.col("row").isNotNull())
+    named = materialize(named.union(pairs.select("a_row")).union(pairs.select("b_row")).distinct(), "named")
+    sketches = materialize(filled.join(_listed(named), "row", "left_semi").select("f1", "n_shingles", "sketch"), "sketches")
     pairs = materialize(_fine(pairs, sketches, near), "pairs")
-    texts = _written(_texts_of(docs, named(pairs)), "texts")
     done = [pairs.select("a_doc_id", "b_doc_id")]
 
-    def merged(joined: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Components after the links among further pairs."""
+    def merged(joined: DataFrame, pairs: DataFrame, close: bool) -> DataFrame:
+        """Components after the links among further pairs; ``close`` ones were held against each other by whole sketches."""
         pairs = _possible(pairs, classes, near)
         for d in done:
             pairs = pairs.join(d, ["a_doc_id", "b_doc_id"], "left_anti")
-        pairs = materialize(_fine(pairs, sketches, near), "pairs")
+        pairs = materialize(pairs.select(*_NAMED) if close else _fine(pairs, sketches, near), "pairs")
         done.append(pairs.select("a_doc_id", "b_doc_id"))
-        return _written(components(joined.toDF("a", "b").union(verified(pairs, texts, k, near)), "a", "b"), "joined")
+        return _written(components(joined.toDF("a", "b").union(verified(pairs, docs, k, near)), "a", "b"), "joined")
 
-    joined = _written(components(verified(pairs, texts, k, near), "a", "b"), "joined")
+    joined = _written(components(verified(pairs, docs, k, near), "a", "b"), "joined")
     # Very large groups that span components are split by a further piece, until they are smaller or all alike.
     gone = None
     still = materialize(_placed(groups, classes, joined), "open")
@@ -557,13 +561,13 @@ def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> Dat
         big = materialize(big, "large")
         if not big.take(1):
             break
-        parts = materialize(_split(big.select("f1", "gid"), classes, texts, k, near, n_buckets), "parts")
+        parts = materialize(_split(big.select("f1", "gid"), classes, docs, k, near, n_buckets), "parts")
         found = materialize(met(parts.where(F.col("bucket").isNotNull()).select("bucket", "keys", "member", "ids")), "met")
         # Where all members share as many pieces as partners need to, a further piece need not tell partners apart.
         needs = parts.where(F.col("gid").isNotNull()).groupBy("gid").agg(F.min("need").alias("need"))
         shared = found.where(F.col("gid").isNotNull()).groupBy("gid", "a").agg(F.sum("b").alias("n")).groupBy("gid").agg(F.max("n").alias("n"))
         alike = needs.join(shared, "gid", "left").where(F.coalesce("n", F.lit(0)) >= F.col("need")).select("gid")
-        joined = merged(joined, found.where(F.col("gid").isNull()).select("a", "b").distinct())
+        joined = merged(joined, found.where(F.col("gid").isNull()).select("a", "b").distinct(), close=False)
         seen = big.select("gid").distinct()
         gone = seen if gone is None else gone.union(seen)
         # Groups that stay: the smaller ones, those whose members are all alike, and the new ones.
@@ -584,7 +588,7 @@ def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> Dat
             sized = still.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
             own = still.join(sized, "gid").groupBy("f1", "c").agg(F.max(F.struct("n", "gid"))["gid"].alias("gid"))
             members = own.select("gid", "f1", "c")
-        joined = merged(joined, _candidates(members.join(sketches.dropDuplicates(["f1"]), "f1"), near, best))
+        joined = merged(joined, _candidates(members, sketches, near, best), close=True)
         if best:
             still = materialize(_placed(still.select("f1", "gid"), classes, joined), "open")
 
