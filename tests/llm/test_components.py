@@ -1,5 +1,6 @@
 import random
 
+from weftgraph.llm import components as C
 from weftgraph.llm.components import components
 
 
@@ -25,3 +26,17 @@ def test_random_graphs(spark):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a string, b string"), "a", "b").collect() == []
+
+
+def test_no_plan_holds_two_stars(spark, monkeypatch, capsys):
+    plans = []
+
+    def explained(edges, written=C._written):
+        edges.explain()
+        plans.append(capsys.readouterr().out.count("Exchange hashpartitioning"))
+        return written(edges)
+
+    monkeypatch.setattr(C, "_written", explained)
+    got = C.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a bigint, b bigint"), "a", "b")
+    assert {(x.node, x.component) for x in got.collect()} == {(i, 0) for i in range(21)}
+    assert len(plans) > 2 and max(plans) <= 3

@@ -125,3 +125,17 @@ def test_small_groups_are_judged_one_level_up(spark):
     # Too few rows altogether: nothing to compare with.
     few = Q.judged(documents(spark, rare)).collect()
     assert all(r.kept and r.distance is None and r.wider_distance is None for r in few)
+
+
+def test_rows_are_not_shuffled_for_a_few_estimates(spark, capsys):
+    """A driver of small memory plans, compiles and logs each stage of a step anew: one exchange, of the sums, is all that a step has."""
+    r = random.Random(3)
+    rows = [("en" if i % 2 else None, "ab"[i % 3 % 2], *[r.gauss(0, 1) for _ in Q.VECTOR]) for i in range(400)]
+    good = Q.materialize(spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{v} double" for v in Q.VECTOR)), "rows")
+    start = Q._start(good, False)
+    first = Q.materialize(start, "start")
+    for step in (start, Q._concentrate(good, first, False)):
+        step.explain()
+        plan = capsys.readouterr().out
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("Project") <= 16

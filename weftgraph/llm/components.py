@@ -4,7 +4,7 @@ Each round points every larger neighbour of a node at the least node around it,
 then does the same among the smaller neighbours; edges never grow in number and
 a path of n nodes needs about log n rounds.  A hub's edges are joined to one
 small row per node, which adaptive execution splits when the hub is skewed.
-Every round is written to the shared scratch folder, so a lost executor costs
+Every star is written to the shared scratch folder, so a lost executor costs
 one re-read.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from weftgraph.session import scratch_path
+from weftgraph.session import materialize, scratch_path
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -45,7 +45,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     current, mark = _written(start)
     while mark[0]:
         # All edges lead from a larger node to a smaller one.
-        following, new = _written(_star(_star(current, large=True), large=False))
+        # Either star is written by a plan of its own: the driver makes a plan anew at each of its stages.
+        pointed = materialize(_star(current, large=True), "stars")
+        following, new = _written(_star(pointed, large=False))
         current, same, mark = following, new == mark, new
         if same:
             break

@@ -547,9 +547,10 @@ def link(docs: DataFrame, k: int = 5, near: int = 75, large: int = LARGE) -> Dat
             pairs = pairs.join(d, ["a_doc_id", "b_doc_id"], "left_anti")
         pairs = materialize(pairs.select(*_NAMED) if close else _fine(pairs, sketches, near), "pairs")
         done.append(pairs.select("a_doc_id", "b_doc_id"))
-        return _written(components(joined.toDF("a", "b").union(verified(pairs, docs, k, near)), "a", "b"), "joined")
+        links = _written(verified(pairs, docs, k, near), "links")
+        return _written(components(joined.toDF("a", "b").union(links), "a", "b"), "joined")
 
-    joined = _written(components(verified(pairs, docs, k, near), "a", "b"), "joined")
+    joined = _written(components(_written(verified(pairs, docs, k, near), "links"), "a", "b"), "joined")
     # Very large groups that span components are split by a further piece, until they are smaller or all alike.
     gone = None
     still = materialize(_placed(groups, classes, joined), "open")

@@ -13,6 +13,9 @@ by that of the whole corpus.  Both come from the same steps.
 
 Everything is DataFrame functions.  A text is read once and reduced to one
 narrow row, which is written to the scratch folder; the steps scan only that.
+A group's quantile is written before rows are joined to it: its size is known
+then, so rows need no shuffle for a small table, and plans stay small, which
+the driver makes, compiles and logs anew at each of their stages.
 Quantiles come from counts per value on a grid, so they are exact on the grid,
 need no sort of a group in one task, and repeat from run to run.  Estimates are
 a table with a row per group; nothing is collected.
@@ -142,26 +145,41 @@ def _lower(i: int, j: int) -> str:
 
 
 def _distance(rows: DataFrame) -> DataFrame:
-    """Squared distance by forward substitution in the triangular factor."""
-    for i, name in enumerate(VECTOR):
-        rest = F.col(name) - F.col(f"m_{i}")
-        for j in range(i):
-            rest = rest - F.col(_lower(i, j)) * F.col(f"z_{j}")
-        rows = rows.withColumn(f"z_{i}", rest / F.col(_lower(i, i)))
+    """Squared distance by forward substitution in the triangular factor, two rows of it in a projection."""
+    for start in range(0, len(VECTOR), 2):
+        made: dict[int, Column] = {}
+        for i in range(start, min(start + 2, len(VECTOR))):
+            rest = F.col(VECTOR[i]) - F.col(f"m_{i}")
+            for j in range(i):
+                rest = rest - F.col(_lower(i, j)) * made.get(j, F.col(f"z_{j}"))
+            made[i] = rest / F.col(_lower(i, i))
+        rows = rows.withColumns({f"z_{i}": z for i, z in made.items()})
     return rows.withColumn("d2", sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(len(VECTOR))), F.lit(0.0)))
 
 
 def _factor(estimate: DataFrame) -> DataFrame:
-    """Cholesky factor of each group's scatter, column after column; the least deviations are added to its diagonal."""
-    for i in range(len(VECTOR)):
-        for j in range(i + 1):
-            rest = F.col(f"c_{i}_{j}")
-            if i == j:
-                rest = rest + F.lit(FLOORS[VECTOR[i]] ** 2)
-            for k in range(j):
-                rest = rest - F.col(_lower(i, k)) * F.col(_lower(j, k))
-            value = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(_lower(j, j))
-            estimate = estimate.withColumn(_lower(i, j), value)
+    """Cholesky factor of each group's scatter; the least deviations are added to its diagonal.
+
+    A projection makes what is below the diagonal in one column, and the diagonal of the next.
+    """
+    made: dict[str, Column] = {}
+
+    def entry(i: int, j: int) -> Column:
+        at = lambda a, b: made.get(_lower(a, b), F.col(_lower(a, b)))
+        rest = F.col(f"c_{i}_{j}")
+        if i == j:
+            rest = rest + F.lit(FLOORS[VECTOR[i]] ** 2)
+        for k in range(j):
+            rest = rest - at(i, k) * at(j, k)
+        return F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / at(j, j)
+
+    estimate = estimate.withColumn(_lower(0, 0), entry(0, 0))
+    for j in range(len(VECTOR) - 1):
+        made = {}
+        for i in range(j + 1, len(VECTOR)):
+            made[_lower(i, j)] = entry(i, j)
+        made[_lower(j + 1, j + 1)] = entry(j + 1, j + 1)
+        estimate = estimate.withColumns(made)
     return estimate
 
 
@@ -173,7 +191,7 @@ def _columns() -> list[str]:
 def _start(rows: DataFrame, few: bool) -> DataFrame:
     """Medians and absolute deviations of each statistic alone."""
     long = rows.select("lang", "source", F.posexplode(F.array(*VECTOR)).alias("v", "x"))
-    middle = _quantile(long, ["lang", "source", "v"], F.col("x"), 0.5, "m")
+    middle = materialize(_quantile(long, ["lang", "source", "v"], F.col("x"), 0.5, "m"), "quality-middle")
     middle = middle.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.col("v").alias("g_v"), "m", "total")
     middle = F.broadcast(middle) if few else middle
     off = long.join(middle, long["lang"].eqNullSafe(middle["g_lang"]) & long["source"].eqNullSafe(middle["g_source"]) & (long["v"] == middle["g_v"]))
@@ -195,7 +213,7 @@ def _start(rows: DataFrame, few: bool) -> DataFrame:
 def _concentrate(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
     """Mean and covariance of the rows nearest to the last estimate."""
     near = _distance(_grouped(rows, estimate, few)).select("lang", "source", *VECTOR, F.sqrt("d2").alias("d"))
-    bound = _quantile(near, ["lang", "source"], F.col("d"), SUPPORT, "bound").drop("total")
+    bound = materialize(_quantile(near, ["lang", "source"], F.col("d"), SUPPORT, "bound").drop("total"), "quality-bound")
     core = _grouped(near, bound, few).where(F.ceil(F.col("d") * GRID) <= F.col("bound") * GRID)
     p = range(len(VECTOR))
     fit = core.groupBy("lang", "source").agg(
@@ -212,7 +230,7 @@ def _estimates(good: DataFrame, few: bool = False) -> DataFrame:
         estimate = materialize(_concentrate(good, estimate, few), "quality-step")
     # Scale: the median row of a group has the median distance of a normal sample.
     near = _distance(_grouped(good, estimate, few)).select("lang", "source", F.sqrt("d2").alias("d"))
-    middle = _quantile(near, ["lang", "source"], F.col("d"), 0.5, "mid").drop("total")
+    middle = materialize(_quantile(near, ["lang", "source"], F.col("d"), 0.5, "mid").drop("total"), "quality-scale")
     # A spread below the floors is no reason to magnify distances.
     scale = F.greatest(F.col("mid") * F.col("mid") / MEDIAN, F.lit(1.0)).alias("scale")
     return _grouped(estimate, middle.select("lang", "source", scale), few).select(*_columns(), "scale")
@@ -254,6 +272,7 @@ def judged(docs: DataFrame) -> DataFrame:
     wider = _wider(good)
     if wider is not None:
         scaled = scaled.unionByName(wider.withColumn("own", F.lit(False)))
+    scaled = materialize(scaled, "quality-scaled")
     scaled = scaled.withColumnRenamed("lang", "g_lang").withColumnRenamed("source", "g_source")
     out = rows.join(scaled, rows["lang"].eqNullSafe(scaled["g_lang"]) & rows["source"].eqNullSafe(scaled["g_source"]), "left")
     out = _distance(out).withColumn("any_distance", F.col("d2") / F.col("scale"))
