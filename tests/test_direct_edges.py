@@ -69,3 +69,28 @@ def test_many_roots_of_paths_sort_no_edges(spark, monkeypatch):
     edges = make_edges(spark, [(f"a{i}", f"a{i + 1}", "calls") for i in range(9)])
     assert paths.flow_paths(edges, [f"a{i}" for i in range(9)], max_depth=1).count() == 9
     assert "ShuffledHashJoin" in plans[1] and "SortMergeJoin" not in plans[1]
+
+
+def star_tables(spark, folder):
+    """Two orders, the first one urgent, of a customer and a part that three lines bought from one supplier."""
+    rows = {
+        "region": ("r_regionkey long, r_name string", [(0, "R")]),
+        "nation": ("n_nationkey long, n_name string, n_regionkey long", [(0, "N", 0)]),
+        "customer": ("c_custkey long, c_name string, c_mktsegment string, c_nationkey long", [(1, "C", "M", 0)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey long", [(1, "S", 0)]),
+        "part": ("p_partkey long, p_name string, p_brand string, p_type string, p_size int", [(1, "P", "B", "T", 1)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string", [(1, 1, "O", "1-URGENT"), (2, 1, "O", "5-LOW")]),
+        "lineitem": ("l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long", [(1, 1, 1, 1), (2, 1, 1, 1), (2, 2, 1, 1)]),
+    }
+    for name, (schema, values) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("large, spread", [(1, 1), (1 << 18, 1), (1 << 18, 1 << 13)])
+def test_flow_of_urgent_orders_goes_on_to_the_end(spark, tmp_path, monkeypatch, large, spread):
+    monkeypatch.setattr(adjacency, "LARGE", large)
+    monkeypatch.setattr(paths, "SPREAD", spread)
+    got = [tuple(r) for r in registry.QUERIES["flow_of_every_urgent_order"](spark, star_tables(spark, tmp_path)).collect()]
+    deep = ("order::1", 3, "order::1 > part::1 > supplier::1 > nation::0", ",calls,instantiates,implements")
+    assert sorted(got) == [("order::1", 2, "order::1 > customer::1 > nation::0", ",calls,implements"), deep, deep, deep]
